@@ -1,0 +1,7 @@
+"""All named queries of the library and the SQL that must give the same rows."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+FLAGSHIP = None
