@@ -12,24 +12,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` by a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, for what executors must all see.
 
-    Only a local session without that setting gets a temporary folder; a cluster without it is an error, as
-    executors don't share local folders.
+    Only a local session without that setting gets a temporary folder; a cluster without it is an error, as executors
+    don't share local folders.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="gristmill-checkpoints-")
     if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="gristmill-checkpoints-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: Rows of one or two numbers that may be broadcast; their number is counted first.
+BROADCAST_ROWS = 1_000_000
+
+
+def near(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``most`` rows; else any join of it is shuffled. ``df`` should be cut."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return row[0], row[1]
