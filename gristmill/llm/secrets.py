@@ -90,6 +90,11 @@ def _reported(found: Column) -> Column:
     return ~allowed & F.coalesce(sums, F.lit(False))
 
 
+def _single(f):
+    """``f`` as a function of one argument, which is how many Spark counts."""
+    return lambda m: f(m)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, secrets)``, a row for each row of ``docs``; ``secrets`` is an array of (start, kind_no, end, kind), in
     code points and end exclusive, by start and then kind. Spans of different kinds may overlap.
@@ -111,7 +116,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spans = []
     for number, kind in enumerate(KINDS):
         pattern, good = keep[kind]
-        listed = F.transform(F.filter(_matches(text, pattern), lambda m, good=good: good(m)), lambda m, n=number, k=kind: F.struct(m["start"].alias("start"), F.lit(n).alias("kind_no"), m["end"].alias("end"), F.lit(k).alias("kind")))
+        listed = F.transform(F.filter(_matches(text, pattern), _single(good)), _single(lambda m: F.struct(m["start"].alias("start"), F.lit(number).alias("kind_no"), m["end"].alias("end"), F.lit(kind).alias("kind"))))
         none = F.expr("cast(array() as array<struct<start: int, kind_no: int, end: int, kind: string>>)")
         spans.append(F.when(text.rlike(worth[kind]), listed).otherwise(none))
     return rows.select("doc_id", F.array_sort(F.concat(*spans)).alias("secrets"))
