@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .shared import table
+from .shared import cut, table
 
 SAMPLE, FEATURES, Z, SEEN, REJECT, PENALTY = 12_000, 512, 5.0, 4, 0.5, 2e-3
 
@@ -53,35 +53,33 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.cuts[None, :], -40, 40)))
 
 
-def _screen(owner: np.ndarray, feature: np.ndarray, grades: np.ndarray) -> np.ndarray:
-    names, index = np.unique(feature, return_inverse=True)
-    seen = np.bincount(index, minlength=len(names))
-    best = np.zeros(len(names))
-    for k in (1, 2):
-        rate = (grades >= k).mean()
-        if 0 < rate < 1:
-            hit = np.bincount(index, weights=(grades >= k)[owner], minlength=len(names))
-            best = np.maximum(best, np.abs(hit - seen * rate) / np.sqrt(np.maximum(seen * rate * (1 - rate), 1e-9)))
-    order = np.lexsort((names, -best))
-    order = order[(best[order] >= Z) & (seen[order] >= SEEN)][:FEATURES]
-    return np.sort(names[order])
+def _screened(rows: DataFrame) -> np.ndarray:
+    """The sorted features of ``rows(grade, features)`` that a threshold's association keeps; counted where the rows are."""
+    n, *hits = rows.agg(F.count("*"), *[F.count(F.when(F.col("grade") >= k, 1)) for k in (1, 2)]).first()
+    seen = rows.select("grade", F.explode("features").alias("feature")).groupBy("feature")
+    seen = seen.agg(F.count("*").alias("seen"), *[F.count(F.when(F.col("grade") >= k, 1)).alias(f"hit_{k}") for k in (1, 2)]).where(F.col("seen") >= SEEN)
+    scores = [F.abs(F.col(f"hit_{k}") - F.col("seen") * (hit / n)) / F.sqrt(F.col("seen") * (hit / n * (1 - hit / n))) for k, hit in zip((1, 2), hits) if 0 < hit < n]
+    if not scores:
+        return np.zeros(0, np.int64)
+    best = seen.select("feature", F.greatest(*scores, F.lit(0.0)).alias("best")).where(F.col("best") >= Z)
+    return np.sort(np.array([r[0] for r in best.orderBy(F.desc("best"), "feature").limit(FEATURES).collect()], np.int64))
 
 
-def fit(grades: np.ndarray, sets: list[np.ndarray], steps: int = 600) -> Ordinal:
-    """Penalised maximum likelihood by accelerated gradient steps. No rows, or no toxic rows: nothing is rejected."""
+def fit(grades: np.ndarray, sets: list[np.ndarray], names: np.ndarray, steps: int = 600) -> Ordinal:
+    """Penalised maximum likelihood on the features ``names``, by accelerated gradient steps. No rows, or no toxic rows:
+    nothing is rejected."""
     none = np.zeros(0, np.int64)
     if not len(grades) or not (grades > 0).any():
         return Ordinal(none, np.zeros(0), np.array([40.0, 40.0]))
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     feature = np.concatenate(sets)
-    names = _screen(owner, feature, grades)
     x = np.zeros((len(grades), len(names)), np.float32)
     if len(names):
         at = np.minimum(np.searchsorted(names, feature), len(names) - 1)
         same = names[at] == feature
         x[owner[same], at[same]] = 1
     rates = [np.clip((grades >= k).mean(), 1e-4, 1 - 1e-4) for k in (1, 2)]
-    first, gap = -np.log(rates[0] / (1 - rates[0])), 0.0
+    first = -np.log(rates[0] / (1 - rates[0]))
     second = -np.log(rates[1] / (1 - rates[1]))
     gap = np.log(max(second - first, 1e-3))
     state = np.r_[np.zeros(len(names)), first, gap]
@@ -111,9 +109,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     grade = F.expr("case when toxic <= 0 then 0 when quality > 0 then 1 else 2 end").alias("grade")
     chosen = labels.select("doc_id", grade).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
-    got = rows.mapInArrow(_feature_rows, "doc_id long, grade int, features array<long>").toPandas()
+    rows = cut(rows.mapInArrow(_feature_rows, "doc_id long, grade int, features array<long>"))
+    names = _screened(rows)
+    kept = F.array_intersect("features", F.array(*[F.lit(int(x)) for x in names])) if len(names) else F.expr("cast(array() as array<long>)")
+    got = rows.select("doc_id", "grade", kept.alias("features")).toPandas()
     got = got.drop_duplicates("doc_id").sort_values("doc_id")
-    return fit(got["grade"].to_numpy(np.int64), [np.asarray(s, np.int64) for s in got["features"]])
+    return fit(got["grade"].to_numpy(np.int64), [np.asarray(s, np.int64) for s in got["features"]], names)
 
 
 def _score_rows(model: Ordinal):
