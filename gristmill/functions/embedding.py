@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .hashing import fnv1a
 from .text import STOPWORDS
@@ -97,7 +98,7 @@ def embedder(lexicon: dict[str, list[str]] = LEXICON):
             known[term] = (h % DIMENSIONS, 1.0 if h >> 63 == 0 else -1.0)
         return known[term]
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(texts: pd.Series) -> pd.Series:
         rows = []
         for text in texts.fillna(""):

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PRIME, HASHES, BANDS, ROWS, SEED = 2**31 - 1, 128, 16, 8, 0x5EED1234
 EMPTY = 2**31 - 1
@@ -24,9 +25,8 @@ def fnv1a(data: bytes) -> int:
     return h
 
 
-@F.pandas_udf("long")
-def fnv1a64(texts: pd.Series) -> pd.Series:
-    """64-bit FNV-1a of the UTF-8 bytes, as a signed long. Texts of one length are hashed together, byte by byte."""
+def fnv1a_batch(texts: pd.Series) -> np.ndarray:
+    """The same for many texts, as signed longs; those of one length are hashed together, byte by byte."""
     data = [b"" if t is None else t.encode() for t in texts]
     out = np.empty(len(data), np.uint64)
     sizes = np.array([len(d) for d in data])
@@ -37,7 +37,13 @@ def fnv1a64(texts: pd.Series) -> pd.Series:
         for j in range(n):
             h = (h ^ block[:, j]) * np.uint64(_FACTOR)
         out[at] = h
-    return pd.Series(out.view(np.int64)).where(texts.notna().to_numpy(), None).astype("Int64")
+    return out.view(np.int64)
+
+
+@F.pandas_udf(T.LongType())
+def fnv1a64(texts: pd.Series) -> pd.Series:
+    """64-bit FNV-1a of the UTF-8 bytes, as a signed long."""
+    return pd.Series(fnv1a_batch(texts), dtype="Int64").where(texts.notna().to_numpy())
 
 
 @cache
@@ -69,7 +75,7 @@ def minhash(hashes: Column, count: int = HASHES, seed: int = SEED) -> Column:
     return F.transform(pairs, lambda c: F.coalesce(F.array_min(F.transform(reduced, lambda x: (c["a"] * x + c["b"]) % PRIME)), F.lit(EMPTY)).cast("int"))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def minhash_shingles(sets: pd.Series) -> pd.Series:
     """Signatures of sets of shingles, by FNV-1a; the whole batch's shingles are hashed and reduced at once."""
     a, b = (np.array(x, np.uint64) for x in zip(*coefficients()))
@@ -77,8 +83,7 @@ def minhash_shingles(sets: pd.Series) -> pd.Series:
     out = np.full((len(sets), HASHES), EMPTY, np.int64)
     flat = pd.Series([t for s in sets if s is not None for t in s], dtype=object)
     if len(flat):
-        h = fnv1a64.func(flat).to_numpy(np.int64)
-        x = np.mod(h, PRIME).astype(np.uint64)
+        x = np.mod(fnv1a_batch(flat), PRIME).astype(np.uint64)
         full = np.flatnonzero(sizes)
         edges = np.r_[0, np.cumsum(sizes[full])[:-1]]
         for j in range(HASHES):
@@ -120,7 +125,7 @@ def ordered_digest(keyed: Column) -> Column:
     return sha256(F.array_join(F.transform(F.array_sort(keyed), lambda x: F.concat(x["fingerprint"], F.lit(UNIT))), ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def uuid7(millis: pd.Series) -> pd.Series:
     """Time-ordered ids (version 7) whose first 48 bits are the given epoch milliseconds."""
     def one(ms):

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Named entities and what they stand for. ``&amp;`` is decoded last, so nothing is decoded twice.
 ENTITIES = [("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("rsquo", "'"), ("ndash", "-"), ("mdash", "-"), ("amp", "&")]
@@ -41,7 +42,7 @@ def strip_html(html: Column, decode_first: bool = False) -> Column:
     return F.trim(F.regexp_replace(decode_entities(text), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without_marks(texts: pd.Series) -> pd.Series:
     def one(text):
         return None if text is None else "".join(c for c in unicodedata.normalize("NFKD", text) if not "\u0300" <= c <= "\u036f")
@@ -69,7 +70,10 @@ def shingles(words: Column, k: int = 3) -> Column:
     """Distinct runs of k words; fewer words make one run, none make none."""
     if k < 1:
         raise ValueError("k must be positive")
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))
+    # The words shifted against themselves: nothing but the row of k words is in the lambda, so the work is linear.
+    count = F.greatest(F.size(words) - k + 1, F.lit(0))
+    shifted = F.arrays_zip(*[F.slice(words, i + 1, count).alias(f"w{i}") for i in range(k)])
+    runs = F.transform(shifted, lambda w: F.concat_ws(" ", *[w[f"w{i}"] for i in range(k)]))
     return F.when(F.size(words) == 0, F.array().cast("array<string>")).when(F.size(words) < k, F.array(F.array_join(words, " "))).otherwise(F.array_distinct(runs))
 
 

@@ -41,7 +41,8 @@ def close_missing(current: DataFrame, live: DataFrame, board: str, external: str
     boards = live.select(board).distinct().withColumn("__any", F.lit(True))
     rows = current.join(listed, [board, external], "left").join(boards, board, "left")
     gone = F.col("closed_at").isNull() & F.col("__live").isNull() & F.col("__any").isNotNull()
-    return rows.withColumn("closed_at", F.when(gone, now).otherwise(F.col("closed_at"))).withColumn("closed_now", gone).drop("__live", "__any")
+    rows = rows.withColumn("closed_now", gone)
+    return rows.withColumn("closed_at", F.when(F.col("closed_now"), now).otherwise(F.col("closed_at"))).drop("__live", "__any")
 
 
 def latest(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def claim_due(queue: DataFrame, now: Column, limit: int, due: str = "due_at", key: str = "id") -> tuple[DataFrame, DataFrame]:
@@ -29,7 +30,7 @@ def bucket_steps(times: list[float], rate: float, capacity: float) -> list[tuple
 def token_bucket(requests: DataFrame, key: str, seconds: str, order: list[str], rate: float = 2.0, capacity: float = 10.0) -> DataFrame:
     """``requests`` with ``allowed``, ``tokens`` and ``wait_ms``. The running state isn't a window frame, so each key's
     requests are folded in order."""
-    schema = requests.schema.add("allowed", "boolean").add("tokens", "double").add("wait_ms", "long")
+    schema = T.StructType([*requests.schema.fields, T.StructField("allowed", T.BooleanType()), T.StructField("tokens", T.DoubleType()), T.StructField("wait_ms", T.LongType())])
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(order)

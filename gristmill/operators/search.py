@@ -105,7 +105,7 @@ def lexical_leg(docs: DataFrame, query: str, ranking: Ranking = Ranking(), key:
         if name == "concepts":
             legs.append(docs.where(F.array_contains("concepts", query.strip())).select(key, F.lit(boost).alias("score")))
         elif name in docs.columns:
-            legs.append(bm25(docs, key, tokens(canonical(F.col(name))), words).select(key, (F.col("score") * boost).alias("score")))
+            legs.append(bm25(docs.select(key, canonical(F.col(name)).alias("__c")), key, tokens(F.col("__c")), words).select(key, (F.col("score") * boost).alias("score")))
     every = legs[0]
     for leg in legs[1:]:
         every = every.unionByName(leg)
@@ -143,7 +143,7 @@ def search(docs: DataFrame, request: Request, now: datetime, ranking: Ranking =
     depth = max(ranking.depth, offset + size)
     docs = docs.where(filters(request))
     text = request.query.strip() or ranking.blank_query
-    form = docs.sparkSession.range(1).select(canonical(F.lit(text)).alias("t"), embedding.concepts(canonical(F.lit(text))).alias("c"), tokens(canonical(F.lit(text))).alias("w")).first()
+    form = docs.sparkSession.range(1).select(canonical(F.lit(text)).alias("t")).select(embedding.concepts(F.col("t")).alias("c"), tokens(F.col("t")).alias("w")).first()
     vector = embedding.embed_words(form["c"], form["w"]).tolist()
     legs = [(ranked(lexical_leg(docs, request.query, ranking, key), depth, key), ranking.lexical), (ranked(vector_leg(docs, vector, key), depth, key), ranking.vector)]
     fused = fuse(legs, ranking.k, key)

@@ -68,7 +68,7 @@ def _audit(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.expr(_STATES).alias("state"))
 
 
-@query(f"select user_id, epoch_ms(min(ts) filter (s = 'ACCEPTED'))::bigint as accepted_ms, epoch_ms(min(ts) filter (s = 'SUBMITTED'))::bigint as submitted_ms, epoch_ms(min(ts) filter (s in ('DECLINED', 'EXPIRED', 'CLOSED')))::bigint as closed_ms from (select user_id, ts, {_STATES} as s from events) group by 1")
+@query(f"select user_id, (epoch_us(min(ts) filter (s = 'ACCEPTED')) // 1000)::bigint as accepted_ms, (epoch_us(min(ts) filter (s = 'SUBMITTED')) // 1000)::bigint as submitted_ms, (epoch_us(min(ts) filter (s in ('DECLINED', 'EXPIRED', 'CLOSED'))) // 1000)::bigint as closed_ms from (select user_id, ts, {_STATES} as s from events) group by 1")
 def state_timestamps(spark, sf_dir):
     rows = lifecycle.timestamps(_audit(spark, sf_dir), "user_id", "state", "ts")
     return rows.select("user_id", *[F.expr(f"unix_millis(cast({c}_at as timestamp))").alias(f"{c}_ms") for c in ("accepted", "submitted", "closed")])
@@ -150,14 +150,14 @@ def latency_percentiles(spark, sf_dir):
     return spark.sql(f"select event_type, count(*) as n, {parts} from gristmill_events group by event_type")
 
 
-@query("""with w as (select event_type, unnest(range(0, 5)) as j, (epoch_ms(ts) // 60000)::bigint as m from events)
+@query("""with w as (select event_type, unnest(range(0, 5)) as j, ((epoch_us(ts) // 1000) // 60000)::bigint as m from events)
 select event_type, ((m - j) * 60000)::bigint as start_ms, count(*) as n, round(count(*) / 300.0, 6)::double as rate from w group by 1, 2""")
 def event_rate_5m(spark, sf_dir):
     rows = table(spark, sf_dir, "events").groupBy("event_type", F.window("ts", "5 minutes", "1 minute").alias("w")).agg(F.count("*").alias("n"))
     return rows.select("event_type", F.expr("unix_millis(cast(w.start as timestamp))").alias("start_ms"), "n", F.round(F.col("n") / 300, 6).alias("rate"))
 
 
-@query("select user_id, epoch_ms(date_trunc('day', ts))::bigint as day_ms, count(*) as n, round(sum(value), 2) as total from events group by 1, 2")
+@query("select user_id, (epoch_us(date_trunc('day', ts)) // 1000)::bigint as day_ms, count(*) as n, round(sum(value), 2) as total from events group by 1, 2")
 def tumbling_daily(spark, sf_dir):
     rows = table(spark, sf_dir, "events").groupBy("user_id", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
     return rows.select("user_id", F.expr("unix_millis(cast(w.start as timestamp))").alias("day_ms"), "n", "total")
@@ -165,7 +165,7 @@ def tumbling_daily(spark, sf_dir):
 
 @query("""with s as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 6 hour then 0 else 1 end as f from events),
 i as (select user_id, ts, sum(f) over (partition by user_id order by ts rows unbounded preceding) as k from s)
-select user_id, epoch_ms(min(ts))::bigint as start_ms, count(*) as n from i group by user_id, k""")
+select user_id, (epoch_us(min(ts)) // 1000)::bigint as start_ms, count(*) as n from i group by user_id, k""")
 def sessionize(spark, sf_dir):
     rows = table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"), F.min("ts").alias("first"))
     return rows.select("user_id", F.expr("unix_millis(cast(first as timestamp))").alias("start_ms"), "n")
@@ -207,7 +207,7 @@ def daily_quota(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", used.alias("used")).withColumn("allowed", F.col("used") <= 2)
 
 
-_HOUR = "epoch_ms(ts) / 1000.0 / 3600"
+_HOUR = "(epoch_us(ts) // 1000) / 1000.0 / 3600"
 
 
 @query(f"""with recursive e as (select event_id, user_id, {_HOUR} as h, row_number() over (partition by user_id order by ts, event_id) as n from events),
@@ -250,7 +250,7 @@ def retention(spark, sf_dir):
     return table(spark, sf_dir, "events").where("ts >= timestamp_ntz '2024-01-23 00:00:00'").select("event_id", "user_id")
 
 
-@query("select user_id, event_id, case when n > 5 then 'REVOKED' when event_type = 'error' then 'PENDING' else 'VERIFIED' end as status, epoch_ms(ts + interval 90 day)::bigint as expires_ms from (select *, row_number() over (partition by user_id order by ts, event_id) as n from events where event_type in ('error', 'signup'))")
+@query("select user_id, event_id, case when n > 5 then 'REVOKED' when event_type = 'error' then 'PENDING' else 'VERIFIED' end as status, (epoch_us(ts + interval 90 day) // 1000)::bigint as expires_ms from (select *, row_number() over (partition by user_id order by ts, event_id) as n from events where event_type in ('error', 'signup'))")
 def lease_expiry(spark, sf_dir):
     """Five tries confirm or lock; a confirmed lease lasts 90 days."""
     tries = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))

@@ -58,8 +58,8 @@ def rrf_fuse(spark, sf_dir):
 def _corpus(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("company_slug"), F.col("source").alias("location"), F.substring_index("text", " ", 6).alias("title"), F.col("text").alias("description"), F.lit("MID").alias("level"), (F.col("doc_id") % 2 == 0).alias("remote"), F.timestamp_millis(F.lit(1704067200000) - F.col("doc_id") * 3600000).alias("posted_at"))
-    text = T.canonical(F.concat_ws(" ", "title", "description"))
-    return rows.withColumn("concepts", embedding.concepts(text)).withColumn("embedding", embedding.embedder()(text))
+    rows = rows.withColumn("c", T.canonical(F.concat_ws(" ", "title", "description")))
+    return rows.withColumn("concepts", embedding.concepts(F.col("c"))).withColumn("embedding", embedding.embedder()("c")).drop("c")
 
 
 @query()
@@ -118,7 +118,8 @@ select count(*) filter (j >= 0.8 and same) as true_pos, count(*) filter (j >= 0.
 from (select len(list_intersect(x.s, y.s)) / greatest(len(list_distinct(list_concat(x.s, y.s))), 1)::double as j, p.m = q.m as same from s x join s y on y.doc_id = x.doc_id + 1 join p on p.doc_id = x.doc_id join p q on q.doc_id = y.doc_id)""")
 def dedup_quality(spark, sf_dir):
     """Neighbouring documents as labelled pairs: equal texts are duplicates, the decision is by shingles."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("m"), T.shingles(T.tokens(T.canonical(F.col("text")))).alias("s"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("m"), T.canonical(F.col("text")).alias("c"))
+    rows = rows.select("doc_id", "m", T.shingles(T.tokens(F.col("c"))).alias("s"))
     other = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("m").alias("m2"), F.col("s").alias("s2"))
     pairs = rows.join(other, "doc_id").select((F.size(F.array_intersect("s", "s2")) / F.greatest(F.size(F.array_union("s", "s2")), F.lit(1))).alias("j"), (F.col("m") == F.col("m2")).alias("same"))
     return pairs.agg(F.count_if((F.col("j") >= 0.8) & F.col("same")).alias("true_pos"), F.count_if((F.col("j") >= 0.8) & ~F.col("same")).alias("false_pos"), F.count_if((F.col("j") < 0.8) & F.col("same")).alias("false_neg"))

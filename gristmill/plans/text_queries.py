@@ -114,7 +114,7 @@ def salted_hash(spark, sf_dir):
     return rows.withColumn("salted", people.salted(F.col("salt").cast("string"), F.col("code").cast("string")))
 
 
-@query("select event_id, epoch_ms(ts)::bigint as ms from events")
+@query("select event_id, (epoch_us(ts) // 1000)::bigint as ms from events")
 def uuid7_ts(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", F.unix_millis(F.expr("cast(ts as timestamp)")).alias("at"))
     rows = rows.select("event_id", hashing.uuid7("at").alias("uuid"))
@@ -203,8 +203,8 @@ _TITLE_PARTS = f"(select id, {_ROLE} as role, {_SPECIAL} as special, {_LEVEL} as
 _WITH_WORDS = f"(select p.*, r.rung, list_distinct({tokens_sql('role')}) as rw, list_distinct({tokens_sql('special')}) as sw from {_TITLE_PARTS} p join {_RUNGS} r on r.level = p.level)"
 
 
-@query(f"""select x.id::bigint as a, y.id::bigint as b, round(0.5 * (case when x.role = y.role then 1.0 else {_jaccard_sql('x.rw', 'y.rw')} end) + 0.3 * (1 - least(coalesce(abs(x.rung - y.rung), 0), 3) / 3.0)
-  + 0.2 * (case when x.special = '' and y.special = '' then 1.0 else {_jaccard_sql('x.sw', 'y.sw')} end), 6) as score from {_WITH_WORDS} x, {_WITH_WORDS} y where x.id < y.id""")
+@query(f"""with w as materialized (select * from {_WITH_WORDS}) select x.id::bigint as a, y.id::bigint as b, round(0.5 * (case when x.role = y.role then 1.0 else {_jaccard_sql('x.rw', 'y.rw')} end) + 0.3 * (1 - least(coalesce(abs(x.rung - y.rung), 0), 3) / 3.0)
+  + 0.2 * (case when x.special = '' and y.special = '' then 1.0 else {_jaccard_sql('x.sw', 'y.sw')} end), 6) as score from w x, w y where x.id < y.id""")
 def title_score_pairs(spark, sf_dir):
     t = F.col("t")
     rows = _titles(spark).select("id", F.struct(titles.role(t).alias("role"), titles.level(t).alias("level"), titles.specialization(t).alias("specialization")).alias("p"))
@@ -308,7 +308,7 @@ def json_roundtrip(spark, sf_dir):
     return rows.select("event_id", "user_id", "event_type", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("select event_id, epoch_ms(date_trunc('day', ts))::bigint as day_ms, epoch_ms(ts)::bigint as ms, (epoch_ms(timestamp '2024-02-01 00:00:00') - epoch_ms(ts))::bigint as age_ms, epoch_ms(ts + interval 90 day)::bigint as lease_ms from events")
+@query("select event_id, (epoch_us(date_trunc('day', ts)) // 1000)::bigint as day_ms, (epoch_us(ts) // 1000)::bigint as ms, ((epoch_us(timestamp '2024-02-01 00:00:00') // 1000) - (epoch_us(ts) // 1000))::bigint as age_ms, (epoch_us(ts + interval 90 day) // 1000)::bigint as lease_ms from events")
 def date_functions(spark, sf_dir):
     rows = table(spark, sf_dir, "events")
     ms = lambda c: F.expr(f"unix_millis(cast({c} as timestamp))")

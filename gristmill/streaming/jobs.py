@@ -14,9 +14,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def read(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
     """A stream over Parquet files in a folder, or over one file."""
-    schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema)
-    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():  # a stream reads folders
+        return reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
+    return reader.parquet(path)
 
 
 def kafka(spark: SparkSession, servers: str, topic: str, most: int = 100) -> DataFrame:
