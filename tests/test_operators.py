@@ -1,0 +1,177 @@
+"""Golden values and properties of functions and operators."""
+
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from gristmill.functions import embedding, hashing, scores, titles
+from gristmill.functions import text as T
+from gristmill.operators import dedup, lifecycle, matching, schedule, search
+from gristmill.sources import feeds
+
+
+def one(spark, *columns):
+    return spark.range(1).select(*columns).first()
+
+
+def canon(spark, text):
+    return one(spark, T.canonical(F.lit(text)))[0]
+
+
+def test_canonical(spark):
+    assert canon(spark, "São Paulo") == "sao paulo"
+    assert canon(spark, "C++ / C# Node.js, SDE-2!") == "c++ / c# node.js sde-2"
+    assert canon(spark, None) == ""
+    assert one(spark, T.strip_html(F.lit("<p>R&amp;D&nbsp;team</p><script>x()</script>&amp;lt; &copy;")))[0] == "R&D team &lt; &copy;"
+
+
+def test_tokens_and_shingles(spark):
+    words = T.tokens(T.canonical(F.lit("Go and R and AI")))
+    assert one(spark, words)[0] == ["go", "ai"]
+    assert one(spark, T.shingles(F.array(F.lit("a"), F.lit("b"))))[0] == ["a b"]
+    assert one(spark, T.shingles(F.expr("cast(array() as array<string>)")))[0] == []
+    assert one(spark, T.shingles(F.array(*[F.lit(x) for x in "abcabc"])))[0] == ["a b c", "b c a", "c a b"]
+    with pytest.raises(ValueError):
+        T.shingles(F.array(F.lit("a")), 0)
+
+
+def test_fnv_and_signatures(spark):
+    assert hashing.fnv1a(b"") == 0xCBF29CE484222325 and hashing.fnv1a(b"a") == 0xAF63DC4C8601EC8C
+    row = one(spark, hashing.fnv1a64(F.lit("a")), hashing.fnv1a64(F.lit(None).cast("string")))
+    assert row[0] % 2**64 == 0xAF63DC4C8601EC8C and row[1] is None
+    sets = spark.sql("select array('x y z', 'y z w') as s union all select array() union all select null")
+    got = sets.select("s", hashing.minhash_shingles("s").alias("m"), hashing.minhash(hashing_of("s")).alias("n")).collect()
+    assert got[0].m == got[0].n and len(set(got[0].m)) > 100
+    assert set(got[1].m) == {hashing.EMPTY} == set(got[2].m)
+
+
+def hashing_of(column):
+    """Signed hashes of a set of two, made without Python in the lambda."""
+    return F.when(F.size(column) == 2, F.array(*[F.lit(hashing.fnv1a(t.encode()) - (2**64 if hashing.fnv1a(t.encode()) >= 2**63 else 0)) for t in ("x y z", "y z w")])).otherwise(F.expr("cast(array() as array<long>)"))
+
+
+def test_banding(spark):
+    assert abs(hashing.band_threshold() - 0.7071) < 1e-3
+    low, mid, high = one(spark, *[hashing.retrieval_probability(F.lit(s)) for s in (0.4, 0.7, 0.9)])
+    assert low < 0.02 and 0.55 <= mid <= 0.70 and high > 0.99
+    with pytest.raises(ValueError):
+        hashing.bands(F.col("x"), 17, 8)
+
+
+@pytest.mark.parametrize("title, level, role", [("Sr. Software Engineer", "SENIOR", "software engineer"), ("SDE-1", "ENTRY", "software engineer"), ("SDE-2", "MID", "software engineer"), ("Member of Technical Staff", "MID", "software engineer"), ("Product Manager", "UNSPECIFIED", "product manager"), ("Staff SRE", "STAFF", "site reliability engineer"), ("Chef", "UNSPECIFIED", "chef"), ("", "UNSPECIFIED", "unknown")])
+def test_titles(spark, title, level, role):
+    t = titles.prepared(T.canonical(F.lit(title)))
+    assert tuple(one(spark, titles.level(t), titles.role(t))) == (level, role)
+
+
+def test_title_score(spark):
+    part = lambda r, v, s: {"role": F.lit(r), "level": F.lit(v), "specialization": F.lit(s)}
+    a = part("software engineer", "SENIOR", "payments")
+    got = one(spark, *[titles.title_score(a, b) for b in (a, part("software engineer", "SENIOR", "search"), part("software engineer", "STAFF", "payments"), part("software engineer", "VP", "payments"))])
+    assert [round(x, 6) for x in got] == [1.0, 0.8, 0.9, 0.7]
+
+
+def test_freshness(spark):
+    now = F.lit(datetime(2024, 1, 29))
+    got = one(spark, *[scores.freshness(F.lit(d).cast("timestamp"), now) for d in (datetime(2024, 1, 15), datetime(2024, 1, 1), datetime(2024, 2, 9), None)])
+    assert [round(x, 9) for x in got] == [0.5, 0.25, 1.0, 1.0]
+    assert one(spark, scores.bounded_freshness(F.lit(0.0)))[0] == pytest.approx(0.6)
+
+
+def test_wilson(spark):
+    none, all_, few, many = one(spark, *[scores.wilson(F.lit(s), F.lit(n)) for s, n in ((0, 0), (50, 50), (1, 1), (95, 100))])
+    assert none == 0 and 0.9 <= all_ <= 1 and few < many
+
+
+def test_intervals(spark):
+    minutes = lambda rate, unchanged, now: one(spark, scores.next_interval_ms(F.lit(rate), F.lit(unchanged), F.lit(now).cast("long")))[0] / 60_000
+    assert minutes(30.0, 0, None) == 144 and minutes(0.0, 0, None) == 720
+    assert minutes(0.5, 0, 3_600_000) == 120 and minutes(5000.0, 0, 3_600_000) == 30
+    assert one(spark, scores.next_rate(F.lit(10.0), F.lit(20), F.lit(1.0)))[0] == pytest.approx(13.0)
+
+
+def test_bucket():
+    steps = schedule.bucket_steps([i * 0.01 for i in range(500)], 2.0, 10.0)
+    assert sum(s[0] for s in steps) <= 10 + 2 * 5 + 1
+    assert [s[0] for s in schedule.bucket_steps([5.0, 4.0, 4.0], 1.0, 2.0)] == [True, True, False]
+
+
+def test_weights_must_sum_to_one():
+    with pytest.raises(ValueError):
+        scores.DedupDials(jaccard=0.5)
+
+
+def test_assignment(spark):
+    requests = spark.range(400).select(F.lit("j").alias("job"), F.col("id").alias("request_id"), F.lit("core").alias("department"), F.lit("SENIOR").alias("level"), F.array(F.lit("java")).alias("stack"), (F.lit(1000) - F.col("id")).alias("requested_at"))
+    referrers = spark.createDataFrame([("j", 1, "core", "SENIOR", ["java"], 0.9, 5), ("j", 2, "core", "STAFF", ["Java "], 0.9, 3), ("j", 3, "", "", [], 0.1, 2)], "job string, referrer_id long, department string, level string, stack array<string>, reputation double, capacity int")
+    pairs = matching.affinities(requests, referrers)
+    got = matching.assign(pairs).collect()
+    assert len(got) == 10 and {r.request_id for r in got} == set(range(390, 400))
+    assert sorted(r.referrer_id for r in got) == [1] * 5 + [2] * 3 + [3] * 2
+    assert got == matching.assign(pairs).collect()
+
+
+def test_dedup_trio(spark):
+    text = "You will own the ledger that moves money for customers in forty countries and keep it correct under load. "
+    rows = [(1, "Senior Software Engineer, Payments", text), (2, "Site Reliability Engineer", "Run clusters, page budgets and capacity plans for every service we have. "), (3, "Sr. Software Engineer - Payments", text)]
+    posts = spark.createDataFrame([(i, "acme", t, d * 3, "Berlin", False) for i, t, d in rows], "posting_id long, company string, title string, description string, location string, remote boolean")
+    prints = dedup.fingerprints(posts)
+    pairs = dedup.scored(dedup.candidates(prints), prints)
+    links = {r.posting_id: r.canonical_id for r in dedup.canonicalize(prints, pairs).collect()}
+    assert links == {1: 1, 2: 2, 3: 1}
+    assert pairs.where("a = 3 and b = 1").first().score > 0.82
+    counts = dedup.source_counts(dedup.canonicalize(prints, pairs)).collect()
+    assert {r.canonical_id: r.source_count for r in counts} == {1: 2, 2: 1}
+
+
+def test_feeds(spark):
+    bodies = [(1, "greenhouse", '{"jobs": [{"id": 4012345, "title": "SRE", "updated_at": "2024-05-01T10:00:00Z", "location": {"name": "Remote - US"}, "content": "&lt;p&gt;x&lt;/p&gt;", "departments": []}, {"id": 2, "title": null}]}'), (2, "lever", '[{"id": "a", "text": "Dev", "createdAt": 1700000000000, "workplaceType": "remote", "categories": {"location": "Lyon"}}]'), (3, "ashby", '{"jobs": [{"id": "z", "title": "PM", "location": "Paris", "isRemote": true, "publishedAt": "nonsense"}]}'), (4, "greenhouse", "not json"), (5, "lever", '{"jobs": []}'), (6, "ashby", "[]")]
+    pages = spark.createDataFrame(bodies, "board_id long, source string, body string")
+    got = {r.external_id: r for r in feeds.parse_all(pages).collect()}
+    assert set(got) == {"4012345", "a", "z"} and all(r.remote for r in got.values())
+    assert got["z"].posted_at is None and got["4012345"].department == "" and got["a"].posted_at is not None
+    assert {r.board_id for r in feeds.parse_errors(pages).collect()} == {4, 5, 6}
+    with pytest.raises(ValueError, match="known are"):
+        feeds.parser("other")
+
+
+def test_states():
+    assert set(lifecycle.NEXT) | set(lifecycle.TERMINAL) == {"REQUESTED", "ACCEPTED", "SUBMITTED", "DECLINED", "EXPIRED", "CLOSED"}
+    assert not set(lifecycle.NEXT) & set(lifecycle.TERMINAL)
+
+
+def test_cursors():
+    request = search.Request("java", size=20)
+    cursor = search.next_cursor(request, 100)
+    assert search.decode_cursor(cursor, search.query_hash(request)) == 20
+    assert search.next_cursor(request, 20) is None
+    for bad in ("!!", cursor[:-2], search.encode_cursor(-1, search.query_hash(request)), search.encode_cursor(5000, search.query_hash(request)), search.encode_cursor(20, "other")):
+        with pytest.raises(ValueError):
+            search.decode_cursor(bad, search.query_hash(request))
+
+
+def test_embeddings(spark):
+    embed = embedding.embedder()
+    texts = ["kubernetes platform", "container orchestration platform", "office manager", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", embed("t").alias("e")).orderBy("id").collect()
+    vectors = [r.e for r in rows]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    assert all(len(v) == 256 and abs(dot(v, v) - 1) < 1e-5 for v in vectors)
+    assert dot(vectors[0], vectors[1]) > 0.9 and abs(dot(vectors[0], vectors[2])) < 0.4
+    assert vectors[3][0] == 1
+    assert embedding.embed_words(["kubernetes"], ["kubernetes", "platform"]) == pytest.approx(vectors[0], abs=1e-6)
+
+
+def test_search(spark):
+    now = datetime(2024, 6, 1)
+    rows = [(1, "Site Reliability Engineer", "kubernetes and terraform", "acme", False, datetime(2024, 5, 31)), (2, "Payments Engineer", "ledger billing", "acme", True, datetime(2024, 5, 31)), (3, "Payments Engineer", "ledger billing", "acme", True, datetime(2024, 2, 1)), (4, "Chef", "cooks", "bistro", False, datetime(2024, 5, 31))]
+    docs = spark.createDataFrame(rows, "id long, title string, description string, company_slug string, remote boolean, posted_at timestamp").withColumn("c", T.canonical(F.concat_ws(" ", "title", "description")))
+    docs = docs.withColumn("level", F.lit("MID")).withColumn("location", F.lit("")).withColumn("concepts", embedding.concepts(F.col("c"))).withColumn("embedding", embedding.embedder()("c"))
+    find = lambda **q: [r.id for r in search.search(docs, search.Request(**q), now).collect()]
+    assert find(query="container orchestration")[0] == 1
+    both = find(query="ledger billing")
+    assert both.index(2) < both.index(3)
+    assert set(find(query="engineer", remote=True)) == {2, 3} and find(query="engineer", company="bistro") == [4]
+    pages = [find(query="engineer", size=2, offset=o) for o in (0, 2)]
+    assert not set(pages[0]) & set(pages[1])
