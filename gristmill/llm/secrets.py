@@ -28,8 +28,8 @@ ALPHABETS = {"hex": "0123456789abcdef", "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcd
 #: C * log2(c) in millionths, for c = 0 to WINDOW.
 TERMS = [0, *(round(c * math.log2(c) * 1e6) for c in range(1, WINDOW + 1))]
 MOST = {kind: math.floor((math.log2(WINDOW) - bits) * WINDOW * 1e6) for kind, bits in BITS.items()}
-#: Not secrets: examples, placeholders, and paths or slugs of many parts.
-ALLOWED = ["EXAMPLE", "[Xx]{6}", "0{12}", "[-/_].*[-/_].*[-/_].*[-/_]"]
+#: Not secrets: examples, placeholders, and paths or slugs of four parts or more, each all letters or all digits.
+ALLOWED = ["EXAMPLE", "[Xx]{6}", "0{12}", "^[-/_=]*([A-Za-z]+|[0-9]+)([-/_]([A-Za-z]+|[0-9]+)){3,}[-/_=]*$"]
 
 
 def _any_case(word: str) -> str:
