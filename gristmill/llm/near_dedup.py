@@ -2,15 +2,17 @@
 
 Method. Texts with the same set of shingles are one class, and its smallest id stands for it. A class has a signature
 of ``2 * TREES`` minima. Each tree is one order of that signature (a rotation that begins at the tree's own pair of
-minima). In each tree, classes with the same first two minima are a region; a region of over ``REGION`` members goes
-down to prefixes of 4, 8 and 16 minima, so depth follows the region's density and no region is held in one task. Each
-sorted region is streamed once, and a class meets the ``NEAR`` neighbours before it, which are those with the longest
-common prefix. With 32 trees, a pair at similarity 0.75 shares no region with probability (1 - 0.75^2)^32 = 3e-12.
+minima). In each tree, classes with the same first two minima are a region, and in a region of up to ``REGION`` members
+each class meets all others. A larger region is dense: it goes down to prefixes of 4, 8 and 16 minima, where a class meets
+only the ``NEAR`` neighbours before it, which are those with the longest common prefix. That finds most links at little
+cost, and the members of dense regions are then settled exactly: all their pairs that earlier links leave apart come from
+a prefix-filtered join of their shingles (overlap.apart). So a pair at similarity 0.75 is met unless it shares no region
+of any size; with 32 trees that has probability (1 - 0.75^2)^32 = 3e-12.
 
 Candidates whose signatures agree too little for the threshold (5 standard deviations) or whose set sizes exclude it
-are left out; the others are confirmed on full sets. Confirming goes in two rounds: each class's best candidate first,
-then every candidate between classes that the first links leave apart. So no candidate that could change a component is
-dropped. Components come from star contraction (shared.components).
+are left out; the others are confirmed on full sets. Confirming goes in rounds: each class's best candidate first, then
+every candidate between classes that the first links leave apart, then those of dense regions. So no candidate that could
+change a component is dropped. Components come from star contraction (shared.components).
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import vectext as V
+from .overlap import apart
 from .shared import components, cut, near, table
 
 TREES, REGION, NEAR, DEPTHS = 32, 64, 8, (4, 8, 16)
@@ -64,10 +67,18 @@ def _sketches(k: int):
     return run
 
 
-def _neighbours(threshold: int):
-    """Streams rows sorted by (region, order): pairs with the NEAR rows before, if signature and sizes allow the threshold."""
+def _least(threshold: int) -> int:
+    """In how many places signatures agree at least, at the threshold."""
     rate = threshold / 100
-    least = int(HASHES * rate - 5.2 * (HASHES * rate * (1 - rate)) ** 0.5)
+    return int(HASHES * rate - 5.2 * (HASHES * rate * (1 - rate)) ** 0.5)
+
+
+def _neighbours(threshold: int):
+    """Streams rows sorted by (region, order): pairs with the rows before, if signature and sizes allow the threshold.
+
+    In a region that isn't dense these are all rows before, in others the NEAR last ones.
+    """
+    least = _least(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple | None = None
@@ -75,28 +86,66 @@ def _neighbours(threshold: int):
             if not batch.num_rows:
                 continue
             region, ids, sizes = (batch.column(j).to_numpy(zero_copy_only=False) for j in range(3))
-            sign = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, HASHES)
+            sign = _rows(batch.column(3))
+            wide = batch.column(4).to_numpy(zero_copy_only=False)
             new = len(region)
             if kept:
                 region, ids, sizes = (np.concatenate([a, b]) for a, b in zip(kept[:3], (region, ids, sizes)))
-                sign = np.concatenate([kept[3], sign])
+                sign, wide = (np.concatenate([a, b]) for a, b in zip(kept[3:], (sign, wide)))
             first = len(region) - new
-            out = []
-            for s in range(1, NEAR + 1):
-                at = np.arange(max(first, s), len(region))
-                at = at[(region[at] == region[at - s]) & (ids[at] != ids[at - s])]
+            out = [(ids[:0], ids[:0], ids[:0])]
+            live = np.arange(first, len(region))
+            for s in range(1, REGION):
+                live = live[live >= s]
+                live = live[(region[live] == region[live - s]) & ((s <= NEAR) | ~wide[live])]
+                if not len(live):
+                    break
+                at = live[ids[live] != ids[live - s]]
                 small, large = np.minimum(sizes[at], sizes[at - s]), np.maximum(sizes[at], sizes[at - s])
                 at = at[small * 100 >= large * threshold]
                 agree = (sign[at] == sign[at - s]).sum(axis=1)
                 at, agree = at[agree >= least], agree[agree >= least]
                 out.append((np.maximum(ids[at], ids[at - s]), np.minimum(ids[at], ids[at - s]), agree.astype(np.int64)))
             a, b, agree = (np.concatenate(x) for x in zip(*out))
-            kept = (region[-NEAR:], ids[-NEAR:], sizes[-NEAR:], sign[-NEAR:])
+            kept = tuple(x[-(REGION - 1) :] for x in (region, ids, sizes, sign, wide))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(agree)], ["a", "b", "agree"])
 
     return run
 
 
+def _rows(signatures: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(-1, HASHES)
+
+
+def _alike(threshold: int):
+    """Pairs whose signatures allow the threshold."""
+    least = _least(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = (_rows(batch.column(2)) == _rows(batch.column(3))).sum(axis=1) >= least
+            yield batch.select([0, 1]).filter(pa.array(good))
+
+    return run
+
+
+def _members(k: int):
+    """A row for each shingle of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, component = (batch.column(j).to_numpy(zero_copy_only=False) for j in range(2))
+            for lo, hi, data, offsets in V.slices(batch.column(2)):
+                sets = V.shingle_sets(data, offsets, k)
+                sizes = np.array([len(s) for s in sets])
+                part = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
+                columns = [np.repeat(x, sizes) for x in (ids[lo:hi], component[lo:hi], np.array(part, np.int64), sizes)]
+                columns.append(np.concatenate(sets).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["node", "component", "part", "n", "member"])
+
+    return run
+
+
 def _confirm(k: int, threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,13 +168,15 @@ def _rotated(tree: Column) -> Column:
     return F.concat(F.col("signature").substr(at + 1, F.lit(HASHES)), F.col("signature").substr(F.lit(1), at))
 
 
-def _candidates(classes: DataFrame, threshold: int) -> DataFrame:
+def _candidates(classes: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, agree) of the classes that meet, and (doc_id) of those in dense regions, which don't meet all others."""
     rows = classes.select("doc_id", F.posexplode("trees").alias("tree", "region"))
     shared = rows.groupBy("region").agg(F.count("*").alias("members")).where("members > 1")
     rows = rows.join(shared, "region").join(classes.select("doc_id", "n_shingles", "signature"), "doc_id")
     rows = cut(rows.select("region", "doc_id", "n_shingles", _rotated(F.col("tree")).alias("sign"), "members"))
-    done = rows.where(F.col("members") <= REGION).drop("members")
-    deep = rows.where(F.col("members") > REGION).drop("members")
+    done = rows.where(F.col("members") <= REGION).drop("members").withColumn("wide", F.lit(False))
+    deep = rows.where(F.col("members") > REGION).drop("members").withColumn("wide", F.lit(True))
+    dense = cut(deep.select("doc_id").distinct())
     for depth in DEPTHS:
         deep = deep.withColumn("region", F.xxhash64("region", F.col("sign").substr(1, depth)))
         count = deep.groupBy("region").agg(F.count("*").alias("members"))
@@ -136,8 +187,8 @@ def _candidates(classes: DataFrame, threshold: int) -> DataFrame:
         done = done.union(deep.where(F.col("members") <= REGION).drop("members"))
         deep = deep.where(F.col("members") > REGION).drop("members")
     rows = done.union(deep).repartition("region").sortWithinPartitions("region", "sign", "doc_id")
-    pairs = rows.select("region", "doc_id", "n_shingles", "sign").mapInArrow(_neighbours(threshold), "a long, b long, agree long")
-    return pairs.groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    pairs = rows.select("region", "doc_id", "n_shingles", "sign", "wide").mapInArrow(_neighbours(threshold), "a long, b long, agree long")
+    return pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")), dense
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: int = 75) -> DataFrame:
@@ -156,11 +207,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = linked.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
     chosen = groups.select(F.col("rep").alias("doc_id"), "set_hash")
     classes = linked.select("doc_id", "n_shingles", "signature", "trees", "set_hash").join(chosen, ["doc_id", "set_hash"]).dropDuplicates(["doc_id", "set_hash"])
-    pairs = cut(_candidates(classes.select("doc_id", "n_shingles", "signature", "trees"), threshold))
+    pairs, dense = _candidates(classes.select("doc_id", "n_shingles", "signature", "trees"), threshold)
+    pairs = cut(pairs)
     wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    texts = cut(docs.where("doc_id is not null").join(near(wanted), "doc_id", "left_semi"))
+    within = lambda ids: docs.where("doc_id is not null").join(near(ids), "doc_id", "left_semi")
+    texts = cut(within(wanted))
 
-    def confirmed(some: DataFrame) -> DataFrame:
+    def confirmed(some: DataFrame, texts: DataFrame = texts) -> DataFrame:
         left, right = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
         both = some.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
         return both.mapInArrow(_confirm(k, threshold), "a long, b long")
@@ -172,8 +225,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for x in "ab":
         of = parts.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
         ends = ends.join(of, x, "left").withColumn(f"of_{x}", F.coalesce(f"of_{x}", x))
-    more = confirmed(ends.where("of_a <> of_b"))
-    parts = components(first.union(more))
+    links = cut(first.union(confirmed(ends.where("of_a <> of_b"))))
+    parts = components(links)
+    if not dense.isEmpty():
+        whole = within(dense).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id"), "text")
+        some = apart(whole.mapInArrow(_members(k), "node long, component long, part long, n long, member long"), threshold, REGION)
+        for x in "ab":
+            some = some.join(classes.select(F.col("doc_id").alias(x), F.col("signature").alias(f"signature_{x}")), x)
+        some = cut(some.select("a", "b", "signature_a", "signature_b").mapInArrow(_alike(threshold), "a long, b long").distinct())
+        if not some.isEmpty():
+            ids = cut(some.select(F.col("a").alias("doc_id")).union(some.select("b")).distinct())
+            parts = components(links.union(confirmed(some, within(ids))))
 
     reps = groups.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
     reps = reps.select("set_hash", F.coalesce("component", "rep").alias("component"))

@@ -81,6 +81,23 @@ def test_near_duplicates_of_a_large_group(spark):
     assert [r[0] for r in got] == [0]
 
 
+def test_near_duplicates_among_many_that_share_a_passage(spark):
+    """Each planted copy's only link is its original; all others share 85 % of their shingles, which is no link."""
+    rng = random.Random(5)
+    base = ["b%d" % i for i in range(100)]
+    rows = [(i, " ".join([*base, *("u%d_%d" % (i, j) for j in range(17))])) for i in range(1000)]
+    for i in range(200):
+        words = rows[i][1].split(" ")
+        at = rng.randrange(10, 40)
+        for at in (at, at + 4, at + 40):  # 14 of 113 shingles change: a similarity of 0.78
+            words[at] = "x%d_%d" % (i, at)
+        rows.append((1000 + i, " ".join(words)))
+    want = {i: c for i, (_, c) in brute_components(rows).items()}
+    assert sum(i != c for i, c in want.items()) == 200
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == want
+
+
 def test_near_duplicates_edges(spark):
     got = near_dedup.near_duplicates(frame(spark, EDGES))
     assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
