@@ -212,6 +212,20 @@ def test_lines(spark):
     assert got == brute_lines(rows)
 
 
+def test_long_lines_without_spaces(spark):
+    """One edit in the first characters of a long line that has no white space; several that open alike."""
+    rng = random.Random(2)
+    lines = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(300)) for _ in range(30)]
+    lines += [x[:4] + "\u3042" + x[5:] for x in lines]
+    opening = "https://www.example.com/"
+    urls = [opening + "".join(rng.choice("abcdefghij0123456789") for _ in range(280)) for _ in range(30)]
+    lines += urls + [x[:150] + "Z" + x[151:] for x in urls]
+    rows = list(enumerate(lines))
+    want = brute_lines(rows)
+    assert sum(not x for x in want.values()) == 60
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()} == want
+
+
 def test_lines_edges(spark):
     got = line_dedup.dedup_lines(frame(spark, [*EDGES, (11, "one line here\n\none line here\nlast")]))
     assert got.columns == frame(spark, []).columns
