@@ -57,3 +57,11 @@ def unchanged_streak(rows: DataFrame, key: list[str], order: list[str], changed:
     within = Window.partitionBy(*key, "__island").orderBy(*order)
     streak = F.sum(F.when(F.col("__changed"), 0).otherwise(1)).over(within)
     return rows.withColumn("streak", streak).drop("__changed", "__island")
+
+
+def hard_delete(rows: DataFrame, doomed: DataFrame, key: str, referring: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` without the doomed ones, and ``referring`` with its ``key`` emptied where it names no row that is left."""
+    kept = rows.join(doomed.select(key).distinct(), key, "left_anti")
+    left = kept.select(F.col(key).alias("__key")).distinct()
+    emptied = referring.join(left, F.col(key) == F.col("__key"), "left").withColumn(key, F.col("__key")).drop("__key")
+    return kept, emptied

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import embedding, scores
-from ..functions.text import canonical, tokens
+from ..functions.text import canonical, strip_html, tokens
 
 K1, B = 1.2, 0.75
 # The fields of the lexical leg and their boosts.
@@ -61,6 +61,21 @@ def filters(request: Request) -> Column:
     return out
 
 
+def documents(jobs: DataFrame, companies: DataFrame, lexicon: dict[str, list[str]] = embedding.LEXICON, dimensions: int = embedding.DIMENSIONS) -> DataFrame:
+    """What is indexed of canonical jobs ``(job_id, company_id, title, description_html, specialization, role, level,
+    location, remote, first_seen_at, source_count)`` and ``companies(company_id, slug, name)``.
+
+    The embedded text is title, specialization, role and location before the plain description; concepts are those of
+    the same text. Jobs without their company aren't indexed.
+    """
+    if dimensions != embedding.DIMENSIONS:
+        raise ValueError(f"the model makes {embedding.DIMENSIONS} dimensions, not {dimensions}")
+    rows = jobs.join(companies.select("company_id", F.col("slug").alias("company_slug"), F.col("name").alias("company_name")), "company_id")
+    rows = rows.withColumn("description", strip_html(F.col("description_html"))).drop("description_html")
+    rows = rows.withColumn("__c", canonical(F.concat_ws(" ", "title", "specialization", "role", "location", "description")))
+    return rows.withColumn("concepts", embedding.concepts(F.col("__c"), lexicon)).withColumn("embedding", embedding.embedder(lexicon)("__c")).withColumn("model_id", F.lit(embedding.MODEL)).drop("__c")
+
+
 def postings(docs: DataFrame, key: str, words: Column) -> DataFrame:
     """(key, term, tf, length), a row per text and term."""
     rows = docs.select(key, words.alias("__w")).select(key, F.size("__w").alias("length"), F.explode("__w").alias("term"))

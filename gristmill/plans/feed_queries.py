@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_html
-from ..operators import ingest
+from ..functions import embedding
+from ..operators import ingest, search
 from ..sources import feeds
-from .base import query, table
+from .base import ORACLES, query, table
+from .text_queries import canonical_sql, concepts_sql
 
 
 def _feed_a(spark, sf_dir):
@@ -19,7 +20,7 @@ def _feed_a(spark, sf_dir):
 
 def _feed_b(spark, sf_dir):
     row = F.struct(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("text"), F.lit("https://jobs.example.com/b").alias("hostedUrl"), F.unix_millis(F.expr("cast(o_orderdate as timestamp)")).alias("createdAt"), F.when(F.col("o_orderstatus") == "O", "Remote").otherwise("onsite").alias("workplaceType"), F.struct(F.col("o_orderstatus").alias("location"), F.lit("core").alias("team")).alias("categories"), F.lit("text").alias("description"))
-    rows = table(spark, sf_dir, "orders").where("o_orderkey < 2000").groupBy((F.col("o_orderkey") % 20 + 100).alias("board_id")).agg(F.collect_list(row).alias("jobs"))
+    rows = table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 2000 + 1000).alias("board_id")).agg(F.collect_list(row).alias("jobs"))
     return rows.select("board_id", F.lit("lever").alias("source"), F.to_json("jobs").alias("body"))
 
 
@@ -37,7 +38,7 @@ def _out(rows):
 
 
 _A = "select p_partkey % 20 as board_id, 'greenhouse' as source, p_partkey::varchar as external_id, p_name as title, '&lt;p&gt;' || p_name || '&lt;/p&gt;' as description_html, p_brand as location, false as remote, p_type as department, 'https://jobs.example.com/' || p_partkey as apply_url, epoch_ms(timestamp '2024-03-01 10:00:00')::bigint as posted_ms from part where p_partkey % 10 <> 0"
-_B = "select o_orderkey % 20 + 100 as board_id, 'lever' as source, o_orderkey::varchar as external_id, o_orderpriority as title, 'text' as description_html, o_orderstatus as location, o_orderstatus = 'O' as remote, 'core' as department, 'https://jobs.example.com/b' as apply_url, epoch_ms(o_orderdate)::bigint as posted_ms from orders where o_orderkey < 2000"
+_B = "select o_orderkey % 2000 + 1000 as board_id, 'lever' as source, o_orderkey::varchar as external_id, o_orderpriority as title, 'text' as description_html, o_orderstatus as location, o_orderstatus = 'O' as remote, 'core' as department, 'https://jobs.example.com/b' as apply_url, epoch_ms(o_orderdate)::bigint as posted_ms from orders"
 _C = "select s_suppkey % 10 + 200 as board_id, 'ashby' as source, s_suppkey::varchar as external_id, s_name as title, '<p>x</p>' as description_html, 'Lyon' as location, s_suppkey % 3 = 0 as remote, 'ops' as department, 'https://jobs.example.com/c' as apply_url, epoch_ms(timestamp '2024-03-01 08:00:00.250')::bigint as posted_ms from supplier"
 
 
@@ -186,15 +187,28 @@ def index_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").agg(F.count("*").alias("n_docs"), F.count_distinct("doc_id").alias("n_ids"))
 
 
-@query("select o_orderkey, case when o_custkey % 7 <> 0 then o_custkey end as resume_id from orders")
+@query("""select 'resume' as kind, c_custkey as id, c_custkey as resume_id from customer where c_acctbal >= 0
+union all select 'request', o_orderkey, case when c_acctbal >= 0 then o_custkey end from orders left join customer on c_custkey = o_custkey""")
 def hard_delete(spark, sf_dir):
-    """Deleted rows are gone, and what refers to them is emptied."""
-    deleted = table(spark, sf_dir, "customer").where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("gone"))
-    rows = table(spark, sf_dir, "orders").join(deleted, "o_custkey", "left")
-    return rows.select("o_orderkey", F.when((F.col("o_custkey") % 7 != 0) & F.col("gone").isNull(), F.col("o_custkey")).alias("resume_id"))
+    """Deleted rows are gone, and what refers to them, or to none, is emptied."""
+    resumes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("resume_id"), "c_acctbal")
+    requests = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("resume_id"))
+    kept, referring = ingest.hard_delete(resumes, resumes.where("c_acctbal < 0"), "resume_id", requests)
+    return kept.select(F.lit("resume").alias("kind"), F.col("resume_id").alias("id"), "resume_id").union(referring.select(F.lit("request"), "id", "resume_id"))
 
 
-@query("select page_id, len(string_split(url, '/'))::bigint as parts, length(url)::bigint as size from pages")
+_PLAIN = f"({ORACLES['strip_html']})"
+_EMBEDDED = canonical_sql("s_name || ' ' || coalesce(plain, '')")
+
+
+@query(f"""with d as (select p.page_id, s_suppkey, n_name, s_name, plain, {_EMBEDDED} as c from pages p join {_PLAIN} h on h.page_id = p.page_id join supplier on s_suppkey = p.page_id % 10 + 1 join nation on n_nationkey = s_nationkey)
+select page_id, lower(n_name) as company_slug, n_name as company_name, s_name as title, plain as description, array_to_string({concepts_sql('c')}, ' ') as concepts, true as unit, 256 as dimensions from d""")
 def build_documents(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", "url", strip_html(F.col("html")).alias("text"))
-    return rows.where(F.col("text").isNotNull()).select("page_id", F.size(F.split("url", "/")).cast("long").alias("parts"), F.length("url").cast("long").alias("size"))
+    """Pages as canonical jobs of suppliers, and their nations as companies: the documents that are indexed."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("company_id"), F.lower("n_name").alias("slug"), F.col("n_name").alias("name"))
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("company_id"), F.col("s_name").alias("title"))
+    pages = table(spark, sf_dir, "pages").withColumn("s_suppkey", F.col("page_id") % 10 + 1).join(supplier, "s_suppkey")
+    jobs = pages.select(F.col("page_id").alias("job_id"), "company_id", "title", F.col("html").alias("description_html"), *[F.lit("").alias(c) for c in ("specialization", "role", "location")], F.lit("MID").alias("level"), F.lit(False).alias("remote"), F.lit(None).cast("timestamp").alias("first_seen_at"), F.lit(1).alias("source_count"))
+    rows = search.documents(jobs, nation)
+    unit = F.abs(embedding.dot(F.col("embedding"), F.col("embedding")) - 1) < 1e-5
+    return rows.select(F.col("job_id").alias("page_id"), "company_slug", "company_name", "title", "description", F.array_join("concepts", " ").alias("concepts"), unit.alias("unit"), F.size("embedding").alias("dimensions"))

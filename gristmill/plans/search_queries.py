@@ -83,13 +83,16 @@ def near_duplicate_pairs(spark, sf_dir):
     return dedup.scored(dedup.candidates(prints), prints).where("is_duplicate").select("a", "b", "matched_bands", "jaccard", "title", "score")
 
 
-_BANDED = "select event_id, user_id % 5 as company, list_transform(range(0, 128), lambda j: (event_id * (j // 8 + 3) + user_id) % 31) as s from events where event_id < 600"
+# Bands of five widths: neighbours share some, and the last band's buckets hold more of a company than a posting keeps.
+_BANDED = "select event_id, user_id % 5 as company, list_transform(range(0, 16), lambda b: case when b = 15 then event_id // 1100 else event_id // (1 + b % 5) end) as s from events"
 
 
-@query(f"""with r as (select event_id, company, b, array_to_string(s[b*8+1:b*8+8], ',') as k from (select event_id, company, s, unnest(range(0, 16)) as b from ({_BANDED})))
-select x.event_id as a, y.event_id as b, count(*) as matched_bands from r x join r y on x.company = y.company and x.b = y.b and x.k = y.k and x.event_id > y.event_id group by 1, 2""")
+@query(f"""with r as (select event_id, company, b, s[b + 1] as k from (select event_id, company, s, unnest(range(0, 16)) as b from ({_BANDED}))), p as (
+select x.event_id as a, y.event_id as b, count(*) as matched_bands from r x join r y on x.company = y.company and x.b = y.b and x.k = y.k and x.event_id > y.event_id group by 1, 2)
+select a, b, matched_bands from p qualify row_number() over (partition by a order by matched_bands desc, b) <= 200""")
 def lsh_candidates(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("event_id < 600").select(F.col("event_id").alias("posting_id"), (F.col("user_id") % 5).alias("company"), F.expr("transform(sequence(0, 127), j -> cast((event_id * (j div 8 + 3) + user_id) % 31 as int))").alias("signature"), F.array(F.lit("x")).alias("shingles"))
+    bands = F.expr("transform(sequence(0, 127), j -> cast(case when j div 8 = 15 then event_id div 1100 else event_id div (1 + j div 8 % 5) end as int))")
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("posting_id"), (F.col("user_id") % 5).alias("company"), bands.alias("signature"), F.array(F.lit("x")).alias("shingles"))
     return dedup.candidates(rows)
 
 

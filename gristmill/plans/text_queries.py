@@ -25,6 +25,12 @@ def shingles_sql(tokens: str) -> str:
     return f"case when len({tokens}) = 0 then [] when len({tokens}) < 3 then [array_to_string({tokens}, ' ')] else list_distinct(list_transform(range(1, len({tokens}) - 1), lambda i: array_to_string({tokens}[i:i+2], ' '))) end"
 
 
+def concepts_sql(canonical: str) -> str:
+    """The lexicon's concepts with a form between blanks of a canonical text, in the lexicon's order."""
+    each = ", ".join("case when " + " or ".join(f"contains(' ' || {canonical} || ' ', ' {form} ')" for form in forms) + f" then '{name}' end" for name, forms in embedding.LEXICON.items())
+    return f"list_filter([{each}], lambda x: x is not null)"
+
+
 _SCRIPTS = r"regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g')"
 _STRIPPED = rf"regexp_replace(regexp_replace({_SCRIPTS}, '(?i)</?(p|br|div|li|ul|ol|h[1-6]|tr|td|table|section)[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
 for _name, _value in T.ENTITIES:
@@ -81,12 +87,12 @@ def minhash_estimate(spark, sf_dir):
     return rows.join(other, "doc_id").select("doc_id", hashing.agreement(F.col("signature"), F.col("signature2")).alias("estimate"), T.jaccard(F.col("s"), F.col("s2")).alias("exact"))
 
 
-_BAND_ROWS = "select event_id, list_transform(range(0, 128), lambda j: (event_id * (j + 3) + user_id * (j // 4)) % 97) as s from events where event_id < 2000"
+_BAND_ROWS = "select event_id, list_transform(range(0, 128), lambda j: (event_id * (j + 3) + user_id * (j // 4)) % 97) as s from events"
 
 
 @query(f"select event_id, b::integer as band, array_to_string(s[b*8+1:b*8+8], ',') as band_key from (select event_id, s, unnest(range(0, 16)) as b from ({_BAND_ROWS}))")
 def lsh_bands(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("event_id < 2000").select("event_id", F.expr("transform(sequence(0, 127), j -> cast((event_id * (j + 3) + user_id * (j div 4)) % 97 as int))").alias("s"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr("transform(sequence(0, 127), j -> cast((event_id * (j + 3) + user_id * (j div 4)) % 97 as int))").alias("s"))
     return rows.select("event_id", F.explode(hashing.bands(F.col("s"))).alias("b")).select("event_id", "b.band", F.array_join(F.transform("b.key", lambda x: x.cast("string")), ",").alias("band_key"))
 
 
@@ -273,10 +279,10 @@ def stack_jaccard(spark, sf_dir):
     return rows.join(other, "p_partkey").select(F.col("p_partkey").alias("a"), "b", F.round(T.stack_jaccard(F.col("s"), F.col("s2")), 6).alias("jaccard"))
 
 
-@query(f"select doc_id, regexp_matches({canonical_sql('left(text, 200)')}, 'remote|anywhere|distributed|the') as remote from documents")
+@query(f"select doc_id, regexp_matches({canonical_sql('text')}, 'remote|anywhere|distributed|idiot') as remote from documents")
 def infer_remote(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(200)).alias("t"))
-    return docs.select("doc_id", (feeds.is_remote(F.col("t"), F.lit("")) | F.contains(T.canonical(F.col("t")), F.lit("the"))).alias("remote"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select("doc_id", feeds.is_remote(F.col("text"), F.lit(""), [*feeds.REMOTE, "idiot"]).alias("remote"))
 
 
 @query("select page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as host from pages")

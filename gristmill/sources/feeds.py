@@ -21,9 +21,9 @@ _FEED_C = "struct<jobs: array<struct<id: string, title: string, department: stri
 REMOTE = ["remote", "anywhere", "distributed"]
 
 
-def is_remote(location: Column, title: Column) -> Column:
+def is_remote(location: Column, title: Column, words: list[str] = REMOTE) -> Column:
     text = canonical(F.concat_ws(" ", F.coalesce(location, F.lit("")), F.coalesce(title, F.lit(""))))
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in REMOTE])
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
 def instant(text: Column) -> Column:
