@@ -1,13 +1,16 @@
 """Operators on texts against brute force, and their edge cases."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gristmill.llm import vectext as V
 from gristmill.llm import decontaminate, line_dedup, near_dedup, packing, quality, registry, secrets, tokens, toxicity
 
 SPACES = re.compile(r"[^\x20\x09-\x0D]+")
@@ -266,15 +269,58 @@ def test_secrets(spark):
 def test_toxicity_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    seen = labels.where("doc_id % 2 = 0")
-    got = toxicity.severity(docs, seen).join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
+    got = toxicity.severity(docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
     assert len(got) > 1000
-    assert ((got.rejected) == (got.toxic == 1)).mean() > 0.93
-    assert (got[got.toxic == 0].rejected).mean() < 0.02
+    assert got[got.toxic == 1].rejected.mean() > 0.7
+    assert got[got.toxic == 0].rejected.mean() < 0.02
     mean = got.groupby(got.toxic * (2 - got.quality)).expected_severity.mean()
     assert mean[0] < mean[1]
 
 
+def test_toxicity_catches_what_words_or_stems_tell(spark):
+    """Toxic texts known by one of some words, or by words of one beginning; the cut is chosen on held-out rows."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abdefgh") for _ in range(rng.randint(3, 8)))
+    rows, grades = [], []
+    for i in range(3000):
+        words, toxic = [word() for _ in range(40)], i % 10 == 0
+        if toxic:
+            words[rng.randrange(40)] = rng.choice(["zut", "zounds", "zark" + word()])
+        rows.append((i, " ".join(words)))
+        grades.append((i, 1 - i % 3 // 2, int(toxic)))
+    labels = spark.createDataFrame(grades, "doc_id long, quality int, toxic int")
+    got = toxicity.severity(frame(spark, rows), labels.where("doc_id < 2000")).where("doc_id >= 2000").toPandas()
+    assert got[got.doc_id % 10 == 0].rejected.mean() > 0.98 and got[got.doc_id % 10 != 0].rejected.mean() < 0.01
+
+
+def brute_severity(model, text):
+    """One text's expected severity, word by word."""
+    found = set()
+    for w in re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").translate(LOWER).encode()):
+        found.add(int(V.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)])).view(np.int64)[0]))
+        if len(w) > toxicity.STEM:
+            found.add(int(V.mix(V.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([toxicity.STEM])) + np.uint64(toxicity.STEM)).view(np.int64)[0]))
+    known = dict(zip(model.features.tolist(), model.weights.tolist()))
+    return sum(1 / (1 + math.exp(c - sum(known.get(f, 0) for f in found))) for c in model.cuts)
+
+
+def test_toxicity_scores(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    assert len(model.features)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.severity(docs, labels).collect():
+        want = brute_severity(model, texts[r.doc_id])
+        assert abs(want - r.expected_severity) < 1e-9 and r.rejected == (r.expected_severity >= model.reject)
+
+
+def test_toxicity_cut():
+    cut = lambda s, t: toxicity.best_cut(np.array(s, float), np.array(t, bool))
+    assert cut([0.9, 0.5, 0.1, 0.1], [1, 1, 0, 0]) == pytest.approx(0.3)
+    assert cut([0.9, 0.2, 0.2, 0.1], [1, 1, 0, 0]) == pytest.approx(0.55)
+    assert cut([0.1, 0.9], [1, 0]) == cut([0.1, 0.9], [0, 0]) == toxicity.REJECT
+
+
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(1, 1, 1), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int")
     assert toxicity.severity(frame(spark, EDGES), labels).count() == len(EDGES)
