@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files and checkpoints of frames that nothing refers to any more.
+
+    Spark removes them once the driver's garbage is collected, which may not happen for long; asking for it between the
+    steps of an operator keeps the disk in use to what the next steps need.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of one or two numbers that may be broadcast; their number is counted first.
 BROADCAST_ROWS = 1_000_000
 
