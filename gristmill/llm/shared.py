@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +49,20 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def written(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` as a table in the shared folder, for as long as the block runs: smaller and faster to read again than a
+    checkpoint. What the block makes of it must be cut within the block."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    try:
+        yield spark.read.parquet(folder)
+    finally:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 #: Rows of one or two numbers that may be broadcast; their number is counted first.
 BROADCAST_ROWS = 1_000_000
 
@@ -81,6 +98,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now = cut(
             large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small).distinct()
         )
+        release(edges.sparkSession)
         after = _state(now)
         if after == before:
             break
