@@ -5,9 +5,9 @@ of ``2 * TREES`` minima. Each tree is one order of that signature (a rotation th
 minima). In each tree, classes with the same first two minima are a region, and in a region of up to ``REGION`` members
 each class meets all others. A larger region is dense: it goes down to prefixes of 4, 8 and 16 minima, where a class meets
 only the ``NEAR`` neighbours before it, which are those with the longest common prefix. That finds most links at little
-cost, and the members of dense regions are then settled exactly: all their pairs that earlier links leave apart come from
-a prefix-filtered join of their shingles (overlap.apart). So a pair at similarity 0.75 is met unless it shares no region
-of any size; with 32 trees that has probability (1 - 0.75^2)^32 = 3e-12.
+cost, and the members of dense regions that aren't one component by then are settled exactly: all their pairs that
+earlier links leave apart come from a prefix-filtered join of their shingles (overlap.apart). So a pair at similarity
+0.75 is met unless it shares no region of any size; with 32 trees that has probability (1 - 0.75^2)^32 = 3e-12.
 
 Candidates whose signatures agree too little for the threshold (5 standard deviations) or whose set sizes exclude it
 are left out; the others are confirmed on full sets. Confirming goes in rounds: each class's best candidate first, then
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import vectext as V
 from .overlap import apart
-from .shared import components, cut, near, table
+from .shared import components, cut, near, release, table
 
 TREES, REGION, NEAR, DEPTHS = 32, 64, 8, (4, 8, 16)
 HASHES = 2 * TREES
@@ -129,23 +129,6 @@ def _alike(threshold: int):
     return run
 
 
-def _members(k: int):
-    """A row for each shingle of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, component = (batch.column(j).to_numpy(zero_copy_only=False) for j in range(2))
-            for lo, hi, data, offsets in V.slices(batch.column(2)):
-                sets = V.shingle_sets(data, offsets, k)
-                sizes = np.array([len(s) for s in sets])
-                part = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
-                columns = [np.repeat(x, sizes) for x in (ids[lo:hi], component[lo:hi], np.array(part, np.int64), sizes)]
-                columns.append(np.concatenate(sets).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["node", "component", "part", "n", "member"])
-
-    return run
-
-
 def _confirm(k: int, threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,14 +152,14 @@ def _rotated(tree: Column) -> Column:
 
 
 def _candidates(classes: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b, agree) of the classes that meet, and (doc_id) of those in dense regions, which don't meet all others."""
+    """(a, b, agree) of the classes that meet, and (region, doc_id) of those in dense regions, which don't meet all others."""
     rows = classes.select("doc_id", F.posexplode("trees").alias("tree", "region"))
     shared = rows.groupBy("region").agg(F.count("*").alias("members")).where("members > 1")
     rows = rows.join(shared, "region").join(classes.select("doc_id", "n_shingles", "signature"), "doc_id")
     rows = cut(rows.select("region", "doc_id", "n_shingles", _rotated(F.col("tree")).alias("sign"), "members"))
     done = rows.where(F.col("members") <= REGION).drop("members").withColumn("wide", F.lit(False))
     deep = rows.where(F.col("members") > REGION).drop("members").withColumn("wide", F.lit(True))
-    dense = cut(deep.select("doc_id").distinct())
+    dense = deep.select("region", "doc_id")
     for depth in DEPTHS:
         deep = deep.withColumn("region", F.xxhash64("region", F.col("sign").substr(1, depth)))
         count = deep.groupBy("region").agg(F.count("*").alias("members"))
@@ -191,6 +174,14 @@ def _candidates(classes: DataFrame, threshold: int) -> tuple[DataFrame, DataFram
     return pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")), dense
 
 
+def _unsettled(dense: DataFrame, parts: DataFrame) -> DataFrame:
+    """(doc_id, component) of the classes in dense regions that aren't one component."""
+    rows = dense.join(near(parts.select(F.col("node").alias("doc_id"), "component")), "doc_id", "left")
+    rows = cut(rows.withColumn("component", F.coalesce("component", "doc_id")))
+    several = rows.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("region")
+    return cut(rows.join(near(several), "region", "left_semi").select("doc_id", "component").distinct())
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: int = 75) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, a row for each row of ``docs``.
 
@@ -209,6 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = linked.select("doc_id", "n_shingles", "signature", "trees", "set_hash").join(chosen, ["doc_id", "set_hash"]).dropDuplicates(["doc_id", "set_hash"])
     pairs, dense = _candidates(classes.select("doc_id", "n_shingles", "signature", "trees"), threshold)
     pairs = cut(pairs)
+    release(docs.sparkSession)
     wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     within = lambda ids: docs.where("doc_id is not null").join(near(ids), "doc_id", "left_semi")
     texts = cut(within(wanted))
@@ -227,9 +219,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ends = ends.join(of, x, "left").withColumn(f"of_{x}", F.coalesce(f"of_{x}", x))
     links = cut(first.union(confirmed(ends.where("of_a <> of_b"))))
     parts = components(links)
+    release(docs.sparkSession)
+    dense = _unsettled(dense, parts)
     if not dense.isEmpty():
-        whole = within(dense).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id"), "text")
-        some = apart(whole.mapInArrow(_members(k), "node long, component long, part long, n long, member long"), threshold, REGION)
+        whole = within(dense.select("doc_id")).join(dense, "doc_id").select("doc_id", "component", "text")
+        some = apart(whole, lambda data, offsets: V.shingle_sets(data, offsets, k), threshold, REGION)
         for x in "ab":
             some = some.join(classes.select(F.col("doc_id").alias(x), F.col("signature").alias(f"signature_{x}")), x)
         some = cut(some.select("a", "b", "signature_a", "signature_b").mapInArrow(_alike(threshold), "a long, b long").distinct())

@@ -1,47 +1,110 @@
 """Pairs of overlapping sets by prefixes, for sets that lie so close together that bands of minima don't tell them apart.
 
-Method. Members are ordered by how many sets hold them, rarest first; ties by value. Two sets of sizes n and m at Jaccard
-similarity t or more have a member in common among the first ``n - ceil(t * n) + 1`` of the one and the first
-``m - ceil(t * m) + 1`` of the other. A member of at most ``most`` sets is rare, and sets that meet at a rare one are few.
-Sets that have no rare member in common can't reach t unless both begin with their frequent ones early enough: of r and s
-rare members and f and g frequent ones, ``min(f, g) >= t * (r + s + max(f, g))``, so that one of the two has
-``2 * r <= f * (1 / t - 1)``. Only such a set is joined at frequent members. Pairs within one component are left out, as no
-link of theirs changes it.
+Method. Members are ordered by about how many sets hold them, rarest first, and then by value. Two sets of sizes n and m at
+Jaccard similarity t or more have their first common member among the first ``n - ceil(t * n) + 1`` of the one and the
+first ``m - ceil(t * m) + 1`` of the other, whatever the order is; so how many sets hold a member needn't be exact, and is
+taken from a sketch of fixed size: counts by ``SLOTS`` slots of hashes, which are never too small. What follows the first
+common member bounds the overlap, so pairs for which that isn't enough are left out.
+
+A member of at most ``most`` sets is rare, and sets that meet at a rare one are few. Sets that have no rare member in common
+can't reach t unless both begin with their frequent ones early enough: of r and s rare members and f and g frequent ones,
+``min(f, g) >= t * (r + s + max(f, g))``, so that one of the two has ``2 * r <= f * (1 / t - 1)``. Only such a set is
+joined at frequent members, and at the first common one only. Pairs within one component are left out, as no link of
+theirs changes it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, near
+from . import vectext as V
+from .shared import cut
+
+SLOTS = 1 << 18
+_U = np.uint64
+
+
+def _counted(sets: Callable) -> Callable:
+    """(slot, held) of a task's sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in V.slices(batch.column(2)):
+                for s in sets(data, offsets):
+                    held += np.bincount((s & _U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["slot", "held"])
+
+    return run
+
+
+def _prefixes(sets: Callable, held: np.ndarray, threshold: int, most: int) -> Callable:
+    """A row for each member of each set's prefix: its key, whose order is that of members, and its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, component = (batch.column(j).to_numpy(zero_copy_only=False) for j in range(2))
+            for lo, _, data, offsets in V.slices(batch.column(2)):
+                columns: list[list] = [[] for _ in range(7)]
+                firsts = []
+                for i, s in enumerate(sets(data, offsets)):
+                    if not len(s):
+                        continue
+                    times = held[(s & _U(SLOTS - 1)).astype(np.int64)]
+                    # Seven bits of the count's logarithm above the hash; frequent members after all rare ones.
+                    key = (np.minimum(8 * np.log2(times), 127).astype(_U) << _U(56)) | (V.mix(s) >> _U(8))
+                    often = times > most
+                    order = np.lexsort((key, often))
+                    n = len(s)
+                    first = order[: n - -(-n * threshold // 100) + 1]
+                    rare = int(n - often.sum())
+                    values = (ids[lo + i], component[lo + i], n, rare)
+                    for column, value in zip(columns, values):
+                        column.append(np.full(len(first), value, np.int64))
+                    columns[4].append(key[first].view(np.int64))
+                    columns[5].append(np.arange(len(first), dtype=np.int64))
+                    columns[6].append(often[first])
+                    frequent = key[first][often[first]].view(np.int64)
+                    firsts += [frequent if o else None for o in often[first]]
+                if firsts:
+                    arrays = [pa.array(np.concatenate(c)) for c in columns]
+                    yield pa.RecordBatch.from_arrays([*arrays, pa.array(firsts, pa.list_(pa.int64()))], ["node", "component", "n", "rare", "member", "place", "often", "frequent"])
+
+    return run
 
 
-def apart(sets: DataFrame, threshold: int, most: int) -> DataFrame:
+def apart(texts: DataFrame, sets: Callable, threshold: int, most: int) -> DataFrame:
     """``(a, b)``, a > b: every two nodes of different components that may have sets at the threshold (percent), and others.
 
-    ``sets(node, component, part, n, member)`` has a row for each of the n distinct members of the set that (node, part)
-    names, with its node's component so far; rows may repeat.
+    ``texts(node, component, text)`` has a row or more for each node, and ``sets`` makes a slice of texts (their bytes and
+    offsets) into sorted arrays of distinct hashes.
     """
-    often = near(cut(sets.groupBy("member").agg(F.count("*").alias("held")).where(F.col("held") > most)))
-    rows = sets.join(often, "member", "left").withColumn("held", F.coalesce("held", F.lit(0)))
-    one = Window.partitionBy("node", "part")
-    rows = rows.withColumn("place", F.dense_rank().over(one.orderBy("held", "member")))
-    rows = rows.withColumn("rare", F.coalesce(F.max(F.when(F.col("held") == 0, F.col("place"))).over(one), F.lit(0)))
-    rows = rows.where(F.col("place") <= F.col("n") - F.floor((F.col("n") * threshold + 99) / 100) + 1)
-    rows = cut(rows.select("node", "component", "n", "member", "held", "rare", (F.col("n") - F.col("rare")).alias("rest")))
+    counts = texts.mapInArrow(_counted(sets), "slot long, held long").groupBy("slot").agg(F.sum("held").alias("held")).collect()  # SLOTS rows at most
+    held = np.ones(SLOTS, np.int64)
+    for slot, n in counts:
+        held[slot] = n
+    rows = texts.mapInArrow(_prefixes(sets, held, threshold, most), "node long, component long, n long, rare long, member long, place long, often boolean, frequent array<long>")
+    rows = cut(rows.withColumn("rest", F.col("n") - F.col("rare")))
 
     def met(left: DataFrame, right: DataFrame) -> DataFrame:
-        x, y = (side.select("member", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n", "rare", "rest")]) for side, s in ((left, "x"), (right, "y")))
+        x, y = (side.select("member", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n", "rare", "rest", "place", "frequent")]) for side, s in ((left, "x"), (right, "y")))
         fits = 100 * F.least("n_x", "n_y") >= threshold * F.greatest("n_x", "n_y")
-        return x.join(y, "member").where((F.col("component_x") != F.col("component_y")) & fits)
+        enough = (100 + threshold) * F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) >= threshold * (F.col("n_x") + F.col("n_y"))
+        return x.join(y, "member").where((F.col("component_x") != F.col("component_y")) & fits & enough)
 
     def mixed(some: DataFrame) -> DataFrame:
         return some.groupBy("member").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("member")
 
-    few, many = rows.where("held = 0"), rows.where("held > 0")
+    few, many = rows.where("not often"), rows.where("often")
     few = met(few.join(mixed(few), "member", "left_semi"), few).where("node_x > node_y")
     many = many.join(mixed(many), "member", "left_semi")
     many = met(many.where(2 * threshold * F.col("rare") <= (100 - threshold) * F.col("rest")), many)
     many = many.where(100 * F.least("rest_x", "rest_y") >= threshold * (F.col("rare_x") + F.col("rare_y") + F.greatest("rest_x", "rest_y")))
+    many = many.where(F.array_min(F.array_intersect("frequent_x", "frequent_y")) == F.col("member"))
     return few.union(many).select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).distinct()
