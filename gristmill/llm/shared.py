@@ -72,6 +72,10 @@ def near(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+#: Edges, two numbers each, that one task takes; beyond that they are spread.
+SINGLE_TASK_EDGES = 250_000
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return row[0], row[1]
@@ -83,21 +87,25 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     ``edges`` has two long columns ``a`` and ``b``. Returns ``(node, component)``: for each node that has an edge to
     another node and isn't its component's smallest node, that smallest node. Loops and edges with a null end link
     nothing. No edges: no rows. Each step takes minima by node (combined before the shuffle) and joins them back, so
-    that a hub's edges are spread by the skew handling of joins.
+    that a hub's edges are spread by the skew handling of joins. Few edges, by their count, are one partition, which needs
+    no shuffles; steps never make more of them.
     """
     ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = cut(ordered)
     before = _state(now)
+    single = before[0] <= SINGLE_TASK_EDGES
+    gathered = lambda df: df.coalesce(1) if single else df
+    now = gathered(now)
     for _ in range(rounds):
         if not before[0]:
             break
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
+        ways = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
+        both = now.select(F.inline(ways))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
-        now = cut(
-            large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small).distinct()
-        )
+        moved = large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = cut(gathered(moved.union(small)).distinct())
         release(edges.sparkSession)
         after = _state(now)
         if after == before:
