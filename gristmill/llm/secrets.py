@@ -2,8 +2,8 @@
 
 Method. Three base kinds are found by pattern. Beside them, each run of at least ``WINDOW`` characters of
 ``[A-Za-z0-9+/_=-]`` is a candidate: it is of the class ``hex`` if it has hex digits only, of the class ``mixed`` if it
-has a small and a capital letter and a digit, and else of no class. Over a candidate a window of ``WINDOW`` characters
-slides; its Shannon entropy is ``log2(WINDOW) - sum(c * log2(c)) / WINDOW`` over the counts c of its characters. The
+has a letter and a digit, of the class ``letters`` if it has small and capital letters and no digit, and else of none. Runs
+of hex digits of one case within a candidate are measured by themselves too. A window of ``WINDOW`` characters slides; its Shannon entropy is ``log2(WINDOW) - sum(c * log2(c)) / WINDOW`` over the counts c of its characters. The
 counts and that sum are kept in a fold: one character comes in, one goes out, and the sum changes by table lookups. The
 table holds whole millionths, so sums are exact whatever the order. A candidate is reported if its best window reaches
 its class's bound and no allow-list pattern matches it.
@@ -23,10 +23,11 @@ from .shared import table
 
 WINDOW = 20
 #: Bits of entropy of the best window from which a candidate is reported, by class.
-BITS = {"hex": 3.0, "mixed": 3.7}
-ALPHABETS = {"hex": "0123456789abcdef", "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"}
-#: C * log2(c) in millionths, for c = 0 to WINDOW.
-TERMS = [0, *(round(c * math.log2(c) * 1e6) for c in range(1, WINDOW + 1))]
+BITS = {"hex": 3.0, "mixed": 3.7, "letters": 4.0}
+_ANY = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+ALPHABETS = {"hex": "0123456789abcdef", "mixed": _ANY, "letters": _ANY}
+#: C * log2(c) in millionths, for c = 0 to WINDOW + 1, as one character comes in before another goes out.
+TERMS = [0, *(round(c * math.log2(c) * 1e6) for c in range(1, WINDOW + 2))]
 MOST = {kind: math.floor((math.log2(WINDOW) - bits) * WINDOW * 1e6) for kind, bits in BITS.items()}
 #: Not secrets: examples, placeholders, and paths or slugs of four parts or more, each all letters or all digits.
 ALLOWED = ["EXAMPLE", "[Xx]{6}", "0{12}", "^[-/_=]*([A-Za-z]+|[0-9]+)([-/_]([A-Za-z]+|[0-9]+)){3,}[-/_=]*$"]
@@ -38,24 +39,33 @@ def _any_case(word: str) -> str:
 
 CANDIDATE = "[A-Za-z0-9+/_=-]{%d,}" % WINDOW
 ASSIGN = "(" + "|".join(map(_any_case, ("password", "passwd", "secret", "token"))) + "|" + _any_case("api") + "_?" + _any_case("key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS, HEX = "AKIA[A-Z0-9]+", "[0-9a-f]+"
+# The lengths are in the patterns: what follows within a run that is too short is shorter still.
+ACCESS, HEX = "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}"
+HEX_RUN = "[0-9a-f]{%d,}|[0-9A-F]{%d,}" % (WINDOW, WINDOW)
 KINDS = ["assign", "access", "hex", "entropy"]
 
 
+def _running(sizes: Column) -> Column:
+    """Running sums of an array, by adding it to itself shifted by 1, 2, 4, ...: in time n log n, where a fold that appends
+    to an array takes the square of n."""
+
+    def shifted(by: int):
+        added = lambda p: F.zip_with(p, F.concat(F.array_repeat(F.lit(0), F.least(F.size(p), F.lit(by))), F.slice(p, F.lit(1), F.size(p) - by)), lambda x, y: x + y)
+        return lambda p: F.when(F.size(p) > by, added(p)).otherwise(p)
+
+    for k in range(31):
+        # The array of one binds the sums so far, which are used more than once.
+        sizes = F.element_at(F.transform(F.array(sizes), shifted(1 << k)), 1)
+    return sizes
+
+
 def _matches(text: Column, pattern: str) -> Column:
     """Array of (start, end, found) of the leftmost matches that don't overlap, in code points."""
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     none = F.expr("cast(array() as array<struct<start: int, end: int, found: string>>)")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["between"])
-        end = begin + F.length(pair["found"])
-        more = F.array(F.struct(begin.alias("start"), end.alias("end"), pair["found"].alias("found")))
-        return F.when(pair["found"].isNull(), state).otherwise(F.struct(end.alias("at"), F.concat(state["out"], more).alias("out")))
-
-    pairs = F.arrays_zip(between.alias("between"), found.alias("found"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda state: state["out"])).otherwise(none)
+    both = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda x, y: F.length(x) + F.length(y))
+    listed = F.zip_with(_running(both), found, lambda end, x: F.struct((end - F.length(x)).alias("start"), end.alias("end"), x.alias("found")))
+    return F.when(text.rlike(pattern), listed).otherwise(none)
 
 
 def _term(count: Column) -> Column:
@@ -82,12 +92,16 @@ def _least_sum(text: Column, alphabet: str) -> Column:
 
 def _reported(found: Column) -> Column:
     hex_only = found.rlike("^[0-9a-fA-F]+$")
-    mixed = found.rlike("[a-z]") & found.rlike("[A-Z]") & found.rlike("[0-9]")
+    digit, letter = found.rlike("[0-9]"), found.rlike("[A-Za-z]")
     allowed = F.lit(False)
     for pattern in ALLOWED:
         allowed = allowed | found.rlike(pattern)
-    sums = F.when(hex_only, _least_sum(F.lower(found), ALPHABETS["hex"]) <= MOST["hex"]).when(mixed, _least_sum(found, ALPHABETS["mixed"]) <= MOST["mixed"])
-    return ~allowed & F.coalesce(sums, F.lit(False))
+    least = F.when(hex_only, _least_sum(F.lower(found), ALPHABETS["hex"]) <= MOST["hex"])
+    least = least.when(digit & letter, _least_sum(found, ALPHABETS["mixed"]) <= MOST["mixed"])
+    least = least.when(~digit & found.rlike("[a-z]") & found.rlike("[A-Z]"), _least_sum(found, ALPHABETS["letters"]) <= MOST["letters"])
+    runs = F.regexp_extract_all(found, F.lit(HEX_RUN), F.lit(0))
+    within = ~hex_only & found.rlike(HEX_RUN) & F.exists(runs, _single(lambda run: _least_sum(F.lower(run), ALPHABETS["hex"]) <= MOST["hex"]))
+    return ~allowed & (F.coalesce(least, F.lit(False)) | within)
 
 
 def _single(f):
@@ -107,18 +121,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     text = F.col("text")
     keep = {
         "assign": (ASSIGN, lambda m: F.length(F.regexp_extract(m["found"], ASSIGN, 2)) >= 6),
-        "access": (ACCESS, lambda m: F.length(m["found"]) >= 20),
-        "hex": (HEX, lambda m: F.length(m["found"]) >= 24),
+        "access": (ACCESS, lambda m: F.lit(True)),
+        "hex": (HEX, lambda m: F.lit(True)),
         "entropy": (CANDIDATE, lambda m: _reported(m["found"])),
     }
-    #: What a text must have for a kind's matches to be worth listing.
-    worth = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}", "entropy": CANDIDATE}
     spans = []
     for number, kind in enumerate(KINDS):
         pattern, good = keep[kind]
         listed = F.transform(F.filter(_matches(text, pattern), _single(good)), _single(lambda m: F.struct(m["start"].alias("start"), F.lit(number).alias("kind_no"), m["end"].alias("end"), F.lit(kind).alias("kind"))))
         none = F.expr("cast(array() as array<struct<start: int, kind_no: int, end: int, kind: string>>)")
-        spans.append(F.when(text.rlike(worth[kind]), listed).otherwise(none))
+        spans.append(F.when(text.rlike(pattern), listed).otherwise(none))
     return rows.select("doc_id", F.array_sort(F.concat(*spans)).alias("secrets"))
 
 
@@ -137,27 +149,30 @@ def _oracle() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     terms = "[" + ", ".join(map(str, TERMS)) + "]"
     listed = " union all ".join(f"select doc_id, '{kind}' as kind, {n} as kind_no, string_split_regex(text, {quote(p)}) as parts, regexp_extract_all(text, {quote(p)}) as found from t where regexp_matches(text, {quote(p)})" for n, (kind, p) in enumerate(zip(KINDS, (ASSIGN, ACCESS, HEX, CANDIDATE))))
+    bounds = " ".join(f"when '{kind}' then {most}" for kind, most in MOST.items())
     allowed = " or ".join(f"regexp_matches(found, {quote(p)})" for p in ALLOWED)
     return f"""
-with t as (select doc_id, coalesce(text, '') as text from documents where regexp_matches(coalesce(text, ''), {quote(ASSIGN)} ) or regexp_matches(coalesce(text, ''), 'AKIA[A-Z0-9]{{16}}|[0-9a-f]{{24}}|' || {quote(CANDIDATE)})
+with t as (select doc_id, coalesce(text, '') as text from documents where regexp_matches(coalesce(text, ''), {quote(ASSIGN)} ) or regexp_matches(coalesce(text, ''), {quote(ACCESS + '|' + HEX + '|' + CANDIDATE)})
 ), m as ({listed}
 ), p as (
   select doc_id, kind, kind_no, unnest(range(1, len(found) + 1)) as i, parts, found from m
 ), s as (
   select doc_id, kind, kind_no, (list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i-1], lambda x: length(x))), 0))::bigint as start, found[i] as found from p
+), f as (
+  select doc_id, start, found, regexp_matches(found, '^[0-9a-fA-F]+$') as hex_only, regexp_matches(found, '[0-9]') as digit from s where kind = 'entropy' and not ({allowed})
 ), c as (
-  select doc_id, kind_no, start, found, lower(found) as low, case when regexp_matches(found, '^[0-9a-fA-F]+$') then 'hex' when regexp_matches(found, '[a-z]') and regexp_matches(found, '[A-Z]') and regexp_matches(found, '[0-9]') then 'mixed' end as class
-  from s where kind = 'entropy' and not ({allowed})
+  select doc_id, start, case when hex_only then 'hex' when digit and regexp_matches(found, '[A-Za-z]') then 'mixed' when not digit and regexp_matches(found, '[a-z]') and regexp_matches(found, '[A-Z]') then 'letters' end as class, case when hex_only then lower(found) else found end as chars from f
+  union select doc_id, start, 'hex', lower(unnest(regexp_extract_all(found, {quote(HEX_RUN)}))) from f where not hex_only
 ), w as (
-  select doc_id, start, class, found, unnest(range(1, length(found) - {WINDOW - 2})) as j, case when class = 'hex' then low else found end as chars from c where class is not null
+  select doc_id, start, class, chars, unnest(range(1, length(chars) - {WINDOW - 2})) as j from c where class is not null
 ), n as (
-  select doc_id, start, class, j, ch, count(*) as n from (select doc_id, start, class, j, unnest(string_split(substr(chars, j, {WINDOW}), '')) as ch from w) group by all
+  select doc_id, start, class, chars, j, ch, count(*) as n from (select doc_id, start, class, chars, j, unnest(string_split(substr(chars, j, {WINDOW}), '')) as ch from w) group by all
 ), e as (
-  select doc_id, start from (select doc_id, start, class, j, sum({terms}[n + 1]) as total from n group by all)
-  group by doc_id, start, class having min(total) <= case when class = 'hex' then {MOST['hex']} else {MOST['mixed']} end
+  select doc_id, start from (select doc_id, start, class, chars, j, sum({terms}[n + 1]) as total from n group by all)
+  group by doc_id, start, class having min(total) <= case class {bounds} end
 ), k as (
   select doc_id, kind, kind_no, start, start + length(found) as stop from s
-  where (kind = 'assign' and length(regexp_extract(found, {quote(ASSIGN)}, 2)) >= 6) or (kind = 'access' and length(found) >= 20) or (kind = 'hex' and length(found) >= 24)
+  where (kind = 'assign' and length(regexp_extract(found, {quote(ASSIGN)}, 2)) >= 6) or kind in ('access', 'hex')
     or (kind = 'entropy' and exists (select 1 from e where e.doc_id = s.doc_id and e.start = s.start))
 ), g as (
   select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,

@@ -249,9 +249,24 @@ def test_entropy_windows(spark):
         return max(sum(-c / size * math.log2(c / size) for c in Counter(t[j : j + size]).values()) for j in range(len(t) - size + 1))
 
     for i, row in enumerate(secrets.scan(docs).orderBy("doc_id").collect()):
-        kind = "hex" if re.fullmatch("[0-9a-fA-F]+", found[i]) else "mixed" if all(re.search(p, found[i]) for p in ("[a-z]", "[A-Z]", "[0-9]")) else None
-        want = kind is not None and best(found[i].lower() if kind == "hex" else found[i]) >= secrets.BITS[kind] - 1e-9
-        assert want == any(s.kind == "entropy" for s in row.secrets), found[i]
+        t = found[i]
+        has = lambda p: re.search(p, t)  # noqa: B023, E731
+        kind = "hex" if re.fullmatch("[0-9a-fA-F]+", t) else "mixed" if has("[0-9]") and has("[A-Za-z]") else "letters" if not has("[0-9]") and has("[a-z]") and has("[A-Z]") else None
+        want = kind is not None and best(t.lower() if kind == "hex" else t) >= secrets.BITS[kind] - 1e-9
+        want |= any(best(run.lower()) >= secrets.BITS["hex"] - 1e-9 for run in re.findall(secrets.HEX_RUN, t))
+        assert want == any(s.kind == "entropy" for s in row.secrets), t
+
+
+def test_secrets_of_one_case_and_within_candidates(spark):
+    texts = {1: "k7q2x9w4m8z3p6v1t5r0b7n2", 2: "K7Q2X9W4M8Z3P6V1T5R0B7N2", 3: "id=9F8E7D6C5B4A39281706", 4: "qWertYuiOpAsdfGhjklZxCvbNm", 5: "internationalisation-of-everything", 6: "aaaaaaaaaaaaaaaaaaaaaaaa1"}
+    got = {r.doc_id: [s.kind for s in r.secrets] for r in secrets.scan(frame(spark, list(texts.items()))).collect()}
+    assert got == {1: ["entropy"], 2: ["entropy"], 3: ["entropy"], 4: ["entropy"], 5: [], 6: ["hex"]}
+
+
+def test_secrets_of_a_text_with_very_many_matches(spark):
+    text = " ".join(f"{i:024x}" for i in range(40_000))
+    (row,) = secrets.scan(frame(spark, [(1, text)])).collect()
+    assert [(s.start, s.end) for s in row.secrets if s.kind == "hex"] == [(25 * i, 25 * i + 24) for i in range(40_000)]
 
 
 def test_secrets(spark):
