@@ -7,10 +7,13 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import kernels
+
 PRIME, HASHES, BANDS, ROWS, SEED = 2**31 - 1, 128, 16, 8, 0x5EED1234
 EMPTY = 2**31 - 1
 UNIT = "\u001f"
@@ -25,25 +28,13 @@ def fnv1a(data: bytes) -> int:
     return h
 
 
-def fnv1a_batch(texts: pd.Series) -> np.ndarray:
-    """The same for many texts, as signed longs; those of one length are hashed together, byte by byte."""
-    data = [b"" if t is None else t.encode() for t in texts]
-    out = np.empty(len(data), np.uint64)
-    sizes = np.array([len(d) for d in data])
-    for n in np.unique(sizes):
-        at = np.flatnonzero(sizes == n)
-        block = np.frombuffer(b"".join(data[i] for i in at), np.uint8).reshape(len(at), n)
-        h = np.full(len(at), _OFFSET, np.uint64)
-        for j in range(n):
-            h = (h ^ block[:, j]) * np.uint64(_FACTOR)
-        out[at] = h
-    return out.view(np.int64)
-
-
-@F.pandas_udf(T.LongType())
-def fnv1a64(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.LongType())
+def fnv1a64(texts: pa.Array) -> pa.Array:
     """64-bit FNV-1a of the UTF-8 bytes, as a signed long."""
-    return pd.Series(fnv1a_batch(texts), dtype="Int64").where(texts.notna().to_numpy())
+    out = np.empty(len(texts), np.int64)
+    for at, end, data, offsets in kernels.pieces(texts):
+        out[at:end] = kernels.fnv1a(data, offsets[:-1], offsets[1:]).view(np.int64)
+    return pa.array(out, mask=texts.is_null().to_numpy(zero_copy_only=False))
 
 
 @cache
@@ -68,27 +59,45 @@ def coefficients(count: int = HASHES, seed: int = SEED) -> tuple[tuple[int, int]
 def minhash(hashes: Column, count: int = HASHES, seed: int = SEED) -> Column:
     """A signature of minima of ``(a * x + b) mod p`` over an array of 64-bit hashes; an empty array gives all EMPTY.
 
-    Products stay below 2^62, so nothing overflows. For many or long arrays ``minhash_batch`` is the faster form.
+    Products stay below 2^62, so nothing overflows. ``minhash_words`` is the faster form for texts.
     """
     pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in coefficients(count, seed)])
     reduced = F.transform(hashes, lambda h: F.pmod(h, F.lit(PRIME)))
     return F.transform(pairs, lambda c: F.coalesce(F.array_min(F.transform(reduced, lambda x: (c["a"] * x + c["b"]) % PRIME)), F.lit(EMPTY)).cast("int"))
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def minhash_shingles(sets: pd.Series) -> pd.Series:
-    """Signatures of sets of shingles, by FNV-1a; the whole batch's shingles are hashed and reduced at once."""
-    a, b = (np.array(x, np.uint64) for x in zip(*coefficients()))
-    sizes = np.array([0 if s is None else len(s) for s in sets])
-    out = np.full((len(sets), HASHES), EMPTY, np.int64)
-    flat = pd.Series([t for s in sets if s is not None for t in s], dtype=object)
-    if len(flat):
-        x = np.mod(fnv1a_batch(flat), PRIME).astype(np.uint64)
-        full = np.flatnonzero(sizes)
+def _signatures(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A row of minima for each run of ``sizes`` hashes; of no hashes, EMPTY. The prime is 2^31 - 1, so remainders are folds
+    of shifts."""
+    out = np.full((len(sizes), HASHES), EMPTY, np.int32)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        p, shift = np.uint64(PRIME), np.uint64(31)
+        x = np.mod(hashes.view(np.int64), PRIME).astype(np.uint64)
         edges = np.r_[0, np.cumsum(sizes[full])[:-1]]
-        for j in range(HASHES):
-            out[full, j] = np.minimum.reduceat((a[j] * x + b[j]) % np.uint64(PRIME), edges)
-    return pd.Series(list(out.astype(np.int32)))
+        for j, (a, b) in enumerate(coefficients()):
+            v = x * np.uint64(a) + np.uint64(b)
+            v = (v & p) + (v >> shift)
+            v = (v & p) + (v >> shift)
+            out[full, j] = np.minimum.reduceat(np.minimum(v, v - p), edges)
+    return out
+
+
+@cache
+def minhash_words(k: int = 3):
+    """A UDF of texts of words joined by single blanks, as of ``tokens``: signatures of their sets of k-word shingles, by
+    FNV-1a. A shingle is a slice of the text, so none is made as a string; repeated ones don't change a minimum. Fewer
+    words make one shingle; null and empty texts have none."""
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def signatures(texts: pa.Array) -> pa.Array:
+        out = [np.zeros(0, np.int32)]
+        for _, _, data, offsets in kernels.pieces(texts):
+            starts, ends, sizes = kernels.shingle_spans(data, offsets, k)
+            out.append(_signatures(kernels.fnv1a(data, starts, ends), sizes).ravel())
+        return pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * HASHES, np.concatenate(out))
+
+    return signatures
 
 
 def agreement(a: Column, b: Column) -> Column:

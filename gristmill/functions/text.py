@@ -62,8 +62,7 @@ def canonical(raw: Column) -> Column:
 
 def tokens(canonical_text: Column) -> Column:
     """Words of two letters or more that aren't stop words, in order, repeats kept."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(F.split(F.coalesce(canonical_text, F.lit("")), " "), lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t))
+    return F.filter(F.split(F.coalesce(canonical_text, F.lit("")), " "), lambda t: (F.length(t) >= 2) & ~t.isin(*STOPWORDS))
 
 
 def shingles(words: Column, k: int = 3) -> Column:

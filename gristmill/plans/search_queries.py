@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import embedding
 from ..functions import text as T
 from ..operators import dedup, search
+from ..operators.staging import staged
 from .base import query, table
 from .text_queries import _TOKENS, canonical_sql, shingles_sql, tokens_sql
 
@@ -77,10 +78,24 @@ def _postings(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("posting_id"), F.col("lang").alias("company"), F.substring_index("text", " ", 6).alias("title"), F.col("text").alias("description"), F.lit("").alias("location"), F.lit(False).alias("remote"))
 
 
+def _prints(spark, sf_dir):
+    return staged(dedup.fingerprints(_postings(spark, sf_dir)))
+
+
+def _scored_classes(spark, sf_dir):
+    """Pairs between the first postings of classes of equal fingerprints, with the number of postings in each."""
+    prints = _prints(spark, sf_dir)
+    sizes = dedup.classes(prints).groupBy("class_id").agg(F.count("*").alias("copies"))
+    heads = prints.join(sizes.select(F.col("class_id").alias("posting_id")), "posting_id", "left_semi")
+    rows = dedup.scored(dedup.candidates(heads), heads)
+    for x in "ab":
+        rows = rows.join(sizes.select(F.col("class_id").alias(x), F.col("copies").alias(f"copies_{x}")), x)
+    return rows
+
+
 def near_duplicate_pairs(spark, sf_dir):
     """The flagship: candidates by bands, scored and gated, from the threshold up."""
-    prints = dedup.fingerprints(_postings(spark, sf_dir)).persist()
-    return dedup.scored(dedup.candidates(prints), prints).where("is_duplicate").select("a", "b", "matched_bands", "jaccard", "title", "score")
+    return _scored_classes(spark, sf_dir).where("is_duplicate").select("a", "b", "copies_a", "copies_b", "matched_bands", "jaccard", "title", "score")
 
 
 # Bands of five widths: neighbours share some, and the last band's buckets hold more of a company than a posting keeps.
@@ -98,8 +113,7 @@ def lsh_candidates(spark, sf_dir):
 
 @query()
 def score_pairs(spark, sf_dir):
-    prints = dedup.fingerprints(_postings(spark, sf_dir))
-    return dedup.scored(dedup.candidates(prints), prints).select("a", "b", "matched_bands", "jaccard", "title", "location", "score", "is_duplicate")
+    return _scored_classes(spark, sf_dir).select("a", "b", "copies_a", "copies_b", "matched_bands", "jaccard", "title", "location", "score", "is_duplicate")
 
 
 @query("select o_custkey, o_orderkey as best from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderpriority, o_orderkey) as n from orders) where n = 1")
@@ -112,8 +126,7 @@ def best_match(spark, sf_dir):
 
 @query()
 def canonicalize(spark, sf_dir):
-    prints = dedup.fingerprints(_postings(spark, sf_dir))
-    return dedup.canonicalize(prints, dedup.scored(dedup.candidates(prints), prints))
+    return dedup.canonicalize(_prints(spark, sf_dir))
 
 
 @query(f"""with t as ({_TOKENS[1:-1]}), s as (select doc_id, {shingles_sql('t')} as s from t), p as (select md5(text) as m, doc_id from documents)

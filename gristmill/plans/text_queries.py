@@ -76,13 +76,13 @@ def fnv_hash(spark, sf_dir):
 
 @query()
 def minhash_signature(spark, sf_dir):
-    return _tokens(spark, sf_dir).select("doc_id", hashing.minhash_shingles(T.shingles(F.col("t"))).alias("signature"))
+    return _tokens(spark, sf_dir).select("doc_id", hashing.minhash_words()(F.array_join("t", " ")).alias("signature"))
 
 
 @query()
 def minhash_estimate(spark, sf_dir):
     """Neighbouring documents' estimated and exact similarity."""
-    rows = _tokens(spark, sf_dir).select("doc_id", T.shingles(F.col("t")).alias("s")).withColumn("signature", hashing.minhash_shingles("s"))
+    rows = _tokens(spark, sf_dir).select("doc_id", T.shingles(F.col("t")).alias("s"), hashing.minhash_words()(F.array_join("t", " ")).alias("signature"))
     other = rows.select((F.col("doc_id") + 1).alias("doc_id"), F.col("s").alias("s2"), F.col("signature").alias("signature2"))
     return rows.join(other, "doc_id").select("doc_id", hashing.agreement(F.col("signature"), F.col("signature2")).alias("estimate"), T.jaccard(F.col("s"), F.col("s2")).alias("exact"))
 
