@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import embedding, scores
 from ..functions.text import canonical, strip_html, tokens
+from .staging import staged
 
 K1, B = 1.2, 0.75
 # The fields of the lexical leg and their boosts.
@@ -82,21 +83,25 @@ def postings(docs: DataFrame, key: str, words: Column) -> DataFrame:
     return rows.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
 
 
+def _bm25_score(tf: list[Column], df: list[Column], length: Column, mean: Column, n: Column, k1: float, b: float) -> Column:
+    score = F.lit(0.0)
+    for t, d in zip(tf, df):
+        score = score + F.log(1 + (n - d + 0.5) / (d + 0.5)) * t * (k1 + 1) / (t + k1 * (1 - b + b * length / mean))
+    return score
+
+
 def bm25(docs: DataFrame, key: str, words: Column, terms: list[str], k1: float = K1, b: float = B) -> DataFrame:
-    """(key, score) of the texts with at least one of the terms. Only those terms' postings are made: texts are scanned
-    once, for lengths and frequencies, and what is shuffled is a row per matching text."""
+    """(key, score) of the texts with at least one of the terms. Texts are scanned once: a row of length and frequencies
+    for each is staged, of which statistics and scores are made."""
     terms = sorted(set(terms))
     rows = docs.select(F.col(key), words.alias("__w"))
+    rows = rows.select(key, F.size("__w").alias("length"), F.filter("__w", lambda w: w.isin(*terms)).alias("__w"))
     counts = [F.size(F.filter("__w", (lambda t: lambda w: w == t)(t))).alias(f"tf_{i}") for i, t in enumerate(terms)]
-    rows = rows.select(key, F.size("__w").alias("length"), *counts)
+    rows = staged(rows.select(key, "length", *counts))
     stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))])
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        tf = F.col(f"tf_{i}")
-        idf = F.log(1 + (F.col("n") - F.col(f"df_{i}") + 0.5) / (F.col(f"df_{i}") + 0.5))
-        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    tf, df = ([F.col(f"{x}_{i}") for i in range(len(terms))] for x in ("tf", "df"))
     found = " or ".join(f"tf_{i} > 0" for i in range(len(terms))) or "false"
-    return rows.where(found).join(F.broadcast(stats)).select(key, score.alias("score"))
+    return rows.where(found).join(F.broadcast(stats)).select(key, _bm25_score(tf, df, F.col("length"), F.col("mean"), F.col("n"), k1, b).alias("score"))
 
 
 def edits_allowed(term: str) -> int:
@@ -110,21 +115,58 @@ def fuzzy_terms(vocabulary: DataFrame, term: str, column: str = "term") -> DataF
     return near.select(column, F.levenshtein(F.col(column), F.lit(term), most).alias("edits")).where("edits >= 0")
 
 
+def fuzzy_frequency(words: Column, term: str) -> Column:
+    """How often the term is among the words; one within the edits that the term's length allows counts 1 less the edits'
+    share of the shorter of the two."""
+    most = edits_allowed(term)
+    exact = lambda w: F.when(w == term, F.lit(1.0))
+    if not most:
+        return F.aggregate(words, F.lit(0.0), lambda s, w: s + exact(w).otherwise(0.0))
+    close = lambda w: (F.abs(F.length(w) - len(term)) <= most) & (F.levenshtein(w, F.lit(term), most) >= 0)
+    part = lambda w: 1 - F.levenshtein(w, F.lit(term), most) / F.least(F.length(w), F.lit(len(term)))
+    return F.aggregate(words, F.lit(0.0), lambda s, w: s + exact(w).when(close(w), F.greatest(part(w), F.lit(0.0))).otherwise(0.0))
+
+
+def _field_columns(columns: list[str], words: list[str], query: str, ranking: Ranking) -> tuple[list[str], list[Column]]:
+    """The leg's fields of words, and what a row keeps of all its fields: lengths, frequencies, whether the concept is had."""
+    fields = [f for f in ranking.boosts if f in columns and f != "concepts"]
+    out = [F.array_contains("concepts", query.strip()).alias("has_concept")] if "concepts" in columns and "concepts" in ranking.boosts else []
+    for f in fields:
+        out.append(F.size(f"__w_{f}").alias(f"length_{f}"))
+        out += [fuzzy_frequency(F.col(f"__w_{f}"), w).alias(f"tf_{f}_{i}") for i, w in enumerate(words)]
+    return fields, out
+
+
+def _best_field(rows: DataFrame, fields: list[str], count: int, ranking: Ranking) -> DataFrame:
+    """``rows`` of at least one match with their ``score``, the boosted BM25 of the best field. A field's statistics are over
+    all rows; they are one row."""
+    stats = [F.count("*").alias("__n")]
+    for f in fields:
+        stats += [F.avg(f"length_{f}").alias(f"__mean_{f}"), *[F.count_if(F.col(f"tf_{f}_{i}") > 0).alias(f"__df_{f}_{i}") for i in range(count)]]
+    scored = [F.when(F.col("has_concept"), F.lit(float(ranking.boosts["concepts"])))] if "has_concept" in rows.columns else []
+    for f in fields:
+        tf, df = ([F.col(f"{x}_{f}_{i}") for i in range(count)] for x in ("tf", "__df"))
+        found = F.greatest(*tf, F.lit(0.0)) > 0
+        scored.append(F.when(found, ranking.boosts[f] * _bm25_score(tf, df, F.col(f"length_{f}"), F.col(f"__mean_{f}"), F.col("__n"), K1, B)))
+    best = F.greatest(*scored, F.lit(None).cast("double"))
+    return rows.crossJoin(F.broadcast(rows.agg(*stats))).withColumn("score", best).where("score is not null")
+
+
+def _worded(docs: DataFrame, ranking: Ranking) -> DataFrame:
+    """Words of each field: canonical, without accents or stop words."""
+    fields = [f for f in ranking.boosts if f in docs.columns and f != "concepts"]
+    docs = docs.select("*", *[canonical(F.col(f)).alias(f"__c_{f}") for f in fields])
+    return docs.select("*", *[tokens(F.col(f"__c_{f}")).alias(f"__w_{f}") for f in fields])
+
+
 def lexical_leg(docs: DataFrame, query: str, ranking: Ranking = Ranking(), key: str = "id") -> DataFrame:
-    """The best field's boosted BM25, for each document with a query term in a field; all documents if it is blank."""
-    words = [w for w in canonical_words(docs.sparkSession, query)]
+    """The best field's boosted BM25, for each document with a query term in a field, or a word within its edits; all
+    documents if it is blank. Texts are scanned once."""
+    words = canonical_words(docs.sparkSession, query)
     if not words:
         return docs.select(key, F.lit(1.0).alias("score"))
-    legs = []
-    for name, boost in ranking.boosts.items():
-        if name == "concepts":
-            legs.append(docs.where(F.array_contains("concepts", query.strip())).select(key, F.lit(boost).alias("score")))
-        elif name in docs.columns:
-            legs.append(bm25(docs.select(key, canonical(F.col(name)).alias("__c")), key, tokens(F.col("__c")), words).select(key, (F.col("score") * boost).alias("score")))
-    every = legs[0]
-    for leg in legs[1:]:
-        every = every.unionByName(leg)
-    return every.groupBy(key).agg(F.max("score").alias("score"))
+    fields, columns = _field_columns(docs.columns, words, query, ranking)
+    return _best_field(staged(_worded(docs, ranking).select(key, *columns)), fields, len(words), ranking).select(key, "score")
 
 
 def canonical_words(spark: SparkSession, text: str) -> list[str]:
@@ -160,10 +202,16 @@ def search(docs: DataFrame, request: Request, now: datetime, ranking: Ranking =
     text = request.query.strip() or ranking.blank_query
     form = docs.sparkSession.range(1).select(canonical(F.lit(text)).alias("t")).select(embedding.concepts(F.col("t")).alias("c"), tokens(F.col("t")).alias("w")).first()
     vector = embedding.embed_words(form["c"], form["w"]).tolist()
-    legs = [(ranked(lexical_leg(docs, request.query, ranking, key), depth, key), ranking.lexical), (ranked(vector_leg(docs, vector, key), depth, key), ranking.vector)]
+    words = canonical_words(docs.sparkSession, request.query)
+    # One scan of the texts for both legs: what is staged of a document is some numbers.
+    fields, columns = _field_columns(docs.columns, words, request.query, ranking) if words else ([], [])
+    near = embedding.dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in vector])).alias("similarity")
+    rows = staged((_worded(docs, ranking) if words else docs).select(key, "posted_at", near, *columns))
+    lexical = _best_field(rows, fields, len(words), ranking) if words else rows.withColumn("score", F.lit(1.0))
+    legs = [(ranked(lexical, depth, key), ranking.lexical), (ranked(rows.select(key, F.col("similarity").alias("score")), depth, key), ranking.vector)]
     fused = fuse(legs, ranking.k, key)
     fused = fused.withColumn("total", F.count("*").over(Window.partitionBy()))
-    rows = docs.select(key, "posted_at").join(F.broadcast(fused), key)  # two legs of ``depth`` rows at most
+    rows = rows.select(key, "posted_at").join(F.broadcast(fused), key)  # two legs of ``depth`` rows at most
     multiplier = scores.bounded_freshness(scores.freshness(F.col("posted_at"), F.lit(now), ranking.half_life_days), ranking.penalty)
     rows = rows.withColumn("multiplier", multiplier).withColumn("score", F.col("fused") * F.col("multiplier"))
     return rows.select(key, "score", "fused", "multiplier", "rank_0", "rank_1", "total").orderBy(F.desc("score"), key).offset(offset).limit(size)

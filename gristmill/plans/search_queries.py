@@ -10,7 +10,7 @@ from ..functions import embedding
 from ..functions import text as T
 from ..operators import dedup, search
 from ..operators.staging import staged
-from .base import query, table
+from .base import query, spread, table
 from .text_queries import _TOKENS, canonical_sql, shingles_sql, tokens_sql
 
 TERMS = ["the", "idiot", "with", "und"]
@@ -21,7 +21,7 @@ _BM = " + ".join(f"ln(1 + (n - df_{i} + 0.5) / (df_{i} + 0.5)) * tf_{i} * 2.2 /
 @query(f"""with t as ({_TOKENS[1:-1]}), c as (select doc_id, len(t) as len, {_TF} from t), s as (select count(*)::double as n, avg(len) as mean, {', '.join(f'count(*) filter (tf_{i} > 0) as df_{i}' for i in range(len(TERMS)))} from c)
 select doc_id, round({_BM}, 6) as score from c, s where {' or '.join(f'tf_{i} > 0' for i in range(len(TERMS)))} order by {_BM} desc, doc_id limit 200""")
 def bm25_topk(spark, sf_dir):
-    rows = search.bm25(table(spark, sf_dir, "documents"), "doc_id", T.tokens(T.canonical(F.col("text"))), TERMS)
+    rows = search.bm25(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", T.tokens(T.canonical(F.col("text"))), TERMS)
     return rows.orderBy(F.desc("score"), "doc_id").limit(200).select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -57,7 +57,7 @@ def rrf_fuse(spark, sf_dir):
 
 
 def _corpus(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
     rows = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("company_slug"), F.col("source").alias("location"), F.substring_index("text", " ", 6).alias("title"), F.col("text").alias("description"), F.lit("MID").alias("level"), (F.col("doc_id") % 2 == 0).alias("remote"), F.timestamp_millis(F.lit(1704067200000) - F.col("doc_id") * 3600000).alias("posted_at"))
     rows = rows.withColumn("c", T.canonical(F.concat_ws(" ", "title", "description")))
     return rows.withColumn("concepts", embedding.concepts(F.col("c"))).withColumn("embedding", embedding.embedder()("c")).drop("c")
@@ -75,7 +75,7 @@ def filtered_search(spark, sf_dir):
 
 
 def _postings(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("posting_id"), F.col("lang").alias("company"), F.substring_index("text", " ", 6).alias("title"), F.col("text").alias("description"), F.lit("").alias("location"), F.lit(False).alias("remote"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select(F.col("doc_id").alias("posting_id"), F.col("lang").alias("company"), F.substring_index("text", " ", 6).alias("title"), F.col("text").alias("description"), F.lit("").alias("location"), F.lit(False).alias("remote"))
 
 
 def _prints(spark, sf_dir):

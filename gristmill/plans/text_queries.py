@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import embedding, hashing, people, scores, titles
 from ..functions import text as T
 from ..sources import feeds
-from .base import query, table, values
+from .base import query, spread, table, values
 
 STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 
@@ -44,11 +44,11 @@ def strip_html(spark, sf_dir):
 
 @query(f"select doc_id, {canonical_sql('text')} as canonical from documents")
 def canonical_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.canonical(F.col("text")).alias("canonical"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.canonical(F.col("text")).alias("canonical"))
 
 
 def _tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.canonical(F.col("text")).alias("c")).select("doc_id", T.tokens(F.col("c")).alias("t"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.canonical(F.col("text")).alias("c")).select("doc_id", T.tokens(F.col("c")).alias("t"))
 
 
 _TOKENS = f"(select doc_id, {tokens_sql('c')} as t from (select doc_id, {canonical_sql('text')} as c from documents))"
@@ -259,7 +259,7 @@ def tech_stack(spark, sf_dir):
 
 @query()
 def embed_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.canonical(F.col("text")).alias("c"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.canonical(F.col("text")).alias("c"))
     return docs.select("doc_id", F.lit(embedding.MODEL).alias("model_id"), embedding.embedder()("c").alias("embedding"))
 
 

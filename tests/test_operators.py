@@ -222,3 +222,29 @@ def test_search(spark):
     assert set(find(query="engineer", remote=True)) == {2, 3} and find(query="engineer", company="bistro") == [4]
     pages = [find(query="engineer", size=2, offset=o) for o in (0, 2)]
     assert not set(pages[0]) & set(pages[1])
+    assert 1 in find(query="kubernets") and find(query="kubernets")[0] == 1
+    leg = lambda q: {r.id: r.score for r in search.lexical_leg(docs, q).collect()}
+    assert set(leg("paymnts")) == {2, 3} and set(leg("Págments")) == {2, 3} and leg("zebra") == {}
+    assert leg("payments")[2] > leg("paymnts")[2] > 0 and set(leg(" ")) == {1, 2, 3, 4}
+
+
+def test_lexical_leg_against_plain_scores(spark):
+    from math import log
+
+    rows = [(1, "data engineer data", "builds pipelines"), (2, "dada artist", None), (3, "chef", "cooks data and more data soup"), (4, "", "")]
+    docs = spark.createDataFrame(rows, "id long, title string, description string")
+    got = {r.id: r.score for r in search.lexical_leg(docs, "data engineers").collect()}
+    part = {("data", "data"): 1, ("data", "dada"): 0.75, ("engineers", "engineer"): 1 - 1 / 8}
+    want = {}
+    for field, boost in ((1, 3.0), (2, 1.0)):
+        words = {r[0]: [w for w in (r[field] or "").split() if w != "and"] for r in rows}
+        mean = sum(map(len, words.values())) / 4
+        tf = {t: {i: sum(part.get((t, w), 0) for w in ws) for i, ws in words.items()} for t in ("data", "engineers")}
+        for i, ws in words.items():
+            score = 0
+            for t in tf:
+                df = sum(x > 0 for x in tf[t].values())
+                score += log(1 + (4 - df + 0.5) / (df + 0.5)) * tf[t][i] * 2.2 / (tf[t][i] + 1.2 * (0.25 + 0.75 * len(ws) / mean))
+            if score:
+                want[i] = max(want.get(i, 0), boost * score)
+    assert got == pytest.approx(want)
