@@ -195,7 +195,7 @@ def fuse(lists: list[tuple[DataFrame, float]], k: int = 60, key: str = "id") ->
 
 def search(docs: DataFrame, request: Request, now: datetime, ranking: Ranking = Ranking(), key: str = "id") -> DataFrame:
     """A page of (key, score, fused, multiplier, rank_0, rank_1, total). ``docs`` has the fields of ``BOOSTS`` that it can,
-    ``embedding``, ``posted_at`` and what the filters need."""
+    ``embedding``, ``posted_at`` and what the filters need; it should be stored or staged, not made on the way."""
     offset, size = request.page()
     depth = max(ranking.depth, offset + size)
     docs = docs.where(filters(request))
