@@ -49,6 +49,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII string in SQL that has no function for it: a fold over the characters, bit by bit."""
+    byte = "list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, k: case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end)"
+    return f"xor(list_reduce([4294967295] || list_transform(string_split({text}, ''), lambda c: ascii(c)::bigint), lambda s, b: {byte}), 4294967295)"
+
+
 @contextmanager
 def written(df: DataFrame) -> Iterator[DataFrame]:
     """``df`` as a table in the shared folder, for as long as the block runs: smaller and faster to read again than a
