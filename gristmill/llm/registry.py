@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, line_dedup, near_dedup, packing, quality, secrets, tokens, toxicity, url_filter
+from . import chat, decontaminate, line_dedup, merge, merkle, near_dedup, packing, pii, quality, secrets, tokens, toxicity, url_filter
 
 MODULES = {
     "op1_best_fit_packing": packing,
@@ -15,6 +15,9 @@ MODULES = {
     "op8_decontaminate": decontaminate,
     "op9_toxicity": toxicity,
     "op10_url_filters": url_filter,
+    "op11_personal_data": pii,
+    "op12_branch_merge": merge,
+    "op13_merkle_manifest": merkle,
 }
 
 QUERIES = {name: getattr(module, name) for name, module in MODULES.items()}
