@@ -8,7 +8,7 @@ numbers lower. Spans of the four base kinds always stay; those of the other kind
 group of digits counts only beside a word that says what it is.
 
 Patterns are written such that a run of characters is entered once, at its start, and never given back, so long runs of
-digits, letters or signs take linear time and no recursion. Places come from the text between matches, as in ``secrets``:
+digits, letters or signs take linear time and no recursion. Places come from the lengths of what stands between matches:
 nothing is shuffled, and a text is handled in its own row.
 """
 
@@ -19,8 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .secrets import _running
 from .shared import table
+from .spans import running
 
 AROUND = 40
 #: Scores are in hundredths; ``STEP`` is what one sort of words adds or takes.
@@ -97,7 +97,7 @@ def _listed(kind_no: int, kind: Kind) -> Column:
     """The kept spans of a kind from ``(found, between)``, the matches and the texts around them."""
     found, between = F.col(f"{kind.name}.found"), F.col(f"{kind.name}.between")
     first, rest = F.slice(between, F.lit(1), F.size(found)), F.slice(between, F.lit(2), F.size(found))
-    ends = _running(F.zip_with(first, found, lambda x, y: F.length(x) + F.length(y)))
+    ends = running(F.zip_with(first, found, lambda x, y: F.length(x) + F.length(y)))
     sides = F.zip_with(first, rest, lambda x, y: F.struct(F.right(x, F.lit(AROUND)).alias("before"), F.left(y, F.lit(AROUND)).alias("after")))
     spans = F.zip_with(F.zip_with(ends, found, lambda e, x: F.struct(e.alias("end"), x.alias("found"))), sides, lambda e, s: F.struct(e["end"].alias("end"), e["found"].alias("found"), s["before"].alias("before"), s["after"].alias("after")))
     good = F.filter(spans, lambda m: _confirmed(kind, m))
@@ -111,8 +111,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     code points and end exclusive, by kind as listed and then start. Spans of different kinds may overlap.
 
     A null or empty text has none. Rows with null or repeated ids have their rows; an empty table gives none. Columns
-    other than the two named are not read. Texts are searched whole, in time linear in their length but for the places,
-    which take n log n of a text's matches.
+    other than the two named are not read. Texts are searched whole, in time linear in their length.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     text = F.col("text")
