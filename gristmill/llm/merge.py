@@ -39,9 +39,11 @@ def _edited(value: str, code: str) -> str:
     return f"case {code} when 0 then '' when 1 then concat({value}, '!') when 2 then concat({value}, '?') else {value} end"
 
 
-def _statement(columns: Sequence[str], lines: str, gathered: str, crc=_crc) -> str:
-    """The merge in SQL from ``base`` (doc_id, id, nth, c0, c1, ... for the columns, text; without nulls but in doc_id).
-    ``lines`` explodes the rows of ``edited`` into n and line, ``gathered`` joins pieces: where the dialects differ."""
+def _statement(columns: Sequence[str], nth: str, lines: str, gathered: str, crc=_crc) -> str:
+    """The merge in SQL from ``base`` (doc_id, id, c0, c1, ... for the columns, text; without nulls but in doc_id).
+    ``nth`` tells rows of one id apart, ``lines`` explodes the rows of ``edited`` into n and line, ``gathered`` joins pieces:
+    where the dialects differ. What adds rows must not see ``nth``: Spark moves all rows once more for a common table
+    expression that isn't deterministic and is used twice."""
     named = {f"c{i}": name for i, name in enumerate(columns)}
     each = lambda f, by=", ": by.join(map(f, named))
     changed = lambda x: "(" + each(lambda c: f"{c}_{x} <> {c}", " or ") + ")"
@@ -54,7 +56,7 @@ def _statement(columns: Sequence[str], lines: str, gathered: str, crc=_crc) -> s
 coded as (
   select *, {_codes(crc, "'row'", "row")}, {each(lambda c: _codes(crc, f"'{named[c]}'", f"{c}_code"))} from base
 ), edited as (
-  select doc_id, id, nth, text, {each(str)}, row_l = 0 as gone_l, row_r = 0 as gone_r, {each(lambda c: ", ".join(f"{_edited(c, f'{c}_code_{x}')} as {c}_{x}" for x in "lr"))} from coded
+  select doc_id, id, {nth} as nth, text, {each(str)}, row_l = 0 as gone_l, row_r = 0 as gone_r, {each(lambda c: ", ".join(f"{_edited(c, f'{c}_code_{x}')} as {c}_{x}" for x in "lr"))} from coded
 ), units as (
   select doc_id, nth, gone_l, gone_r, {whole}, n, line, {_codes(crc, "n", "code")} from {lines}
 ), states as (
@@ -107,7 +109,7 @@ def merge(docs: DataFrame, columns: Sequence[str] = COLUMNS, id_col: str = "doc_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[value(c).alias(f"c{i}") for i, c in enumerate(columns)], value(text_col).alias("text"))
     lines = "(select * from edited distribute by doc_id, nth) lateral view posexplode(split(text, '\\n', -1)) u as n, line"
     gathered = "array_join(transform(array_sort(collect_list(case when piece is not null then struct(n, piece) end)), p -> p.piece), chr(10))"
-    sql = f"with base as (select *, coalesce(cast(doc_id as string), '') as id, monotonically_increasing_id() as nth from {{docs}}), {_statement(columns, lines, gathered)} select * from merged"
+    sql = f"with base as (select *, coalesce(cast(doc_id as string), '') as id from {{docs}}), {_statement(columns, 'monotonically_increasing_id()', lines, gathered)} select * from merged"
     out = docs.sparkSession.sql(sql, docs=rows)
     return out.select("doc_id", *[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], "text", *[F.col(n).cast("long").alias(n) for n in ("n_clean", "n_edit_edit", "n_edit_delete", "n_insert_insert")])
 
@@ -119,9 +121,9 @@ def op12_branch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     lines = "(select *, unnest(range(0, len(string_split(text, chr(10))))) as n, unnest(string_split(text, chr(10))) as line from edited)"
-    statement = _statement(COLUMNS, lines, "coalesce(string_agg(piece, chr(10) order by n), '')", crc32_sql)
+    statement = _statement(COLUMNS, "row_number() over ()", lines, "coalesce(string_agg(piece, chr(10) order by n), '')", crc32_sql)
     return f"""
-with base as (select doc_id, coalesce(doc_id::varchar, '') as id, row_number() over () as nth, coalesce(lang, '') as c0, coalesce(source, '') as c1, coalesce(text, '') as text from documents), {statement}
+with base as (select doc_id, coalesce(doc_id::varchar, '') as id, coalesce(lang, '') as c0, coalesce(source, '') as c1, coalesce(text, '') as text from documents), {statement}
 select doc_id, c0 as lang, c1 as source, sha256(text) as text_sha256, {_counts()} from merged"""
 
 
