@@ -75,8 +75,12 @@ def filtered_search(spark, sf_dir):
     return docs.where(search.filters(search.Request(remote=True, company="en", location="src1 or src8", levels=("mid",)))).select("id")
 
 
+def posting_columns(docs):
+    return docs.select(F.col("doc_id").alias("posting_id"), F.col("lang").alias("company"), F.substring_index("text", " ", 6).alias("title"), F.col("text").alias("description"), F.lit("").alias("location"), F.lit(False).alias("remote"))
+
+
 def _postings(spark, sf_dir):
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select(F.col("doc_id").alias("posting_id"), F.col("lang").alias("company"), F.substring_index("text", " ", 6).alias("title"), F.col("text").alias("description"), F.lit("").alias("location"), F.lit(False).alias("remote"))
+    return posting_columns(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")))
 
 
 def _prints(spark, sf_dir):

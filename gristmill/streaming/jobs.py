@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.staging import folder
 
-
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 def read(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
     """A stream over Parquet files in a folder, or over one file."""
@@ -69,8 +72,29 @@ def upsert_into(path: str, merge: Callable[[DataFrame | None, DataFrame], DataFr
     return write
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that is available now, into a table in memory: for checks of bounded inputs."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, mode: str = "append", place: str | None = None) -> DataFrame:
+    """All that is available now, into a table in the shared folder, which is read back. In the modes complete and update a
+    micro-batch's rows replace those before. At the ``place`` of an earlier run it goes on from where that run ended."""
+    spark = stream.sparkSession
+    place = place or f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True)
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{place}/0")  # so that there is a table if nothing comes
+    if mode == "append":
+        query = writer.format("parquet").option("path", f"{place}/rows").start()
+    else:
+        query = writer.foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(f"{place}/rows")).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/rows")
+    found = rows.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(rows)
+    return spark.read.schema(stream.schema).parquet(f"{place}/rows" if found else f"{place}/0")
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """State of several variables needs RocksDB; the session's own setting is put back."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
