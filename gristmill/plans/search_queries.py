@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import embedding
 from ..functions import text as T
 from ..operators import dedup, search
-from ..operators.staging import staged
+from ..operators.index import Index
+from ..operators.staging import folder, staged
 from .base import query, spread, table
 from .text_queries import _TOKENS, canonical_sql, shingles_sql, tokens_sql
 
@@ -25,6 +27,24 @@ def bm25_topk(spark, sf_dir):
     return rows.orderBy(F.desc("score"), "doc_id").limit(200).select("doc_id", F.round("score", 6).alias("score"))
 
 
+# What the index holds at last: every seventh document deleted, every 21st of them brought back with another text.
+_INDEXED = "select doc_id, case when doc_id % 21 = 0 then source when doc_id % 20 = 0 then text || ' idiot with idiot' else text end as text from documents where doc_id % 21 = 0 or doc_id % 7 <> 0"
+
+
+@query(f"""with e as ({_INDEXED}), t as ({_TOKENS[1:-1].replace('from documents', 'from e')}), c as (select doc_id, len(t) as len, {_TF} from t), s as (select count(*)::double as n, avg(len) as mean, {', '.join(f'count(*) filter (tf_{i} > 0) as df_{i}' for i in range(len(TERMS)))} from c)
+select doc_id, round({_BM}, 6) as score from c, s where {' or '.join(f'tf_{i} > 0' for i in range(len(TERMS)))}""")
+def index_search(spark, sf_dir):
+    """Scores read from an inverted index after upserts, deletes, a merge and further upserts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    index = Index(spark, f"{folder(spark)}/index-{uuid.uuid4().hex}", {"text": 1.0}, key="doc_id", stems=False)
+    index.write(0, docs)
+    changed = docs.where("doc_id % 20 = 0").select("doc_id", F.concat("text", F.lit(" idiot with idiot")).alias("text"), F.lit("upsert").alias("op"), F.lit(1).alias("seq"))
+    index.bulk(1, changed.union(docs.where("doc_id % 7 = 0").select("doc_id", F.lit(None).cast("string"), F.lit("delete"), F.lit(2))))
+    index.merge(1)
+    index.write(2, docs.where("doc_id % 21 = 0").select("doc_id", F.col("source").alias("text")))
+    return index.scores(TERMS).select(F.col("key").cast("long").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 @query(f"select t as term, levenshtein(t, 'widget') as edits from (select distinct unnest({tokens_sql(canonical_sql('p_name'))}) as t from part) where levenshtein(t, 'widget') <= 2 union all select t, levenshtein(t, 'rind') from (select distinct unnest({tokens_sql(canonical_sql('p_name'))}) as t from part) where levenshtein(t, 'rind') <= 1")
 def fuzzy_terms(spark, sf_dir):
     words = table(spark, sf_dir, "part").select(F.explode(T.tokens(T.canonical(F.col("p_name")))).alias("term")).distinct()
