@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import embedding
 from ..functions import text as T
-from ..operators import dedup, search
+from ..operators import dedup, search, vectors
 from ..operators.index import Index
 from ..operators.staging import folder, staged
 from .base import query, spread, table
@@ -67,6 +67,15 @@ def cosine_topk(spark, sf_dir):
     return pairs.withColumn("n", F.row_number().over(best)).where("n <= 10").select("q", "vec_id")
 
 
+@query()
+def ann_topk(spark, sf_dir):
+    """The neighbours that ``cosine_topk`` finds, by an index of lists and codes of all vectors: at least nine of ten."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index, model = vectors.build(rows, f"{folder(spark)}/vectors-{uuid.uuid4().hex}")
+    found = vectors.nearest(index, rows, rows.where("vec_id % 20 = 0"), model)
+    return found.select("q", F.col("id").alias("vec_id"), "place")
+
+
 @query("""with a as (select o_orderkey, row_number() over (order by o_totalprice desc, o_orderkey) as r from orders qualify r <= 200), b as (select o_orderkey, row_number() over (order by o_orderdate desc, o_orderkey) as r from orders qualify r <= 200)
 select coalesce(a.o_orderkey, b.o_orderkey) as id, a.r as rank_0, b.r as rank_1, round(coalesce(1.0 / (60 + a.r), 0) + coalesce(0.5 / (60 + b.r), 0), 8)::double as fused from a full join b on a.o_orderkey = b.o_orderkey""")
 def rrf_fuse(spark, sf_dir):
