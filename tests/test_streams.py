@@ -2,10 +2,12 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from gristmill.operators import dedup
-from gristmill.streaming import canonical, jobs
+from gristmill.streaming import canonical, jobs, outbox
 
 
 def postings(spark):
@@ -36,3 +38,69 @@ def test_canonical_jobs_by_micro_batches(spark, tmp_path):
     assert len(got) == 240 and plain(got) == plain(want)
     assert sum(r.posting_id != r.canonical_id for r in got) > 25
     assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
+
+
+class Crash(Exception):
+    pass
+
+
+def events(spark, ids, at=0):
+    return spark.createDataFrame([(i, "t", i % 3, f"p{i}", at + i) for i in ids], "id long, topic string, partition_key long, payload string, occurred_at long")
+
+
+@pytest.mark.parametrize("crash", ["claim", "send", "mark"])
+def test_a_batch_that_dies_sends_nothing_twice(spark, tmp_path, crash):
+    """The first batch dies after its claim, after it was sent, or after the mark but before the stream's checkpoint."""
+    events(spark, range(20)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    log = outbox.Log(str(tmp_path / "log"), F.when(F.col("id") == 7, F.lit("x" * 3000)))
+    dies = [True]
+
+    class Fragile(outbox.Outbox):
+        def _step(self, name, do, *args):
+            out = do(*args)
+            if crash == name and dies:
+                dies.clear()
+                raise Crash
+            return out
+
+        def _claim(self, *args):
+            return self._step("claim", super()._claim, *args)
+
+        def _mark(self, *args):
+            return self._step("mark", super()._mark, *args)
+
+    def send(claimed, number):
+        out = log(claimed, number)
+        if crash == "send" and dies:
+            dies.clear()
+            raise Crash
+        return out
+
+    def run():
+        box = Fragile(spark, str(tmp_path / "box"), send, attempts=3)
+        stream = jobs.read(spark, str(tmp_path / "in"), files=1)
+        stream.writeStream.foreachBatch(box.drain).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+        return box
+
+    with pytest.raises(Exception, match="Crash"):
+        run()
+    events(spark, [3, 4, 20, 21]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))  # 3 and 4 come again
+    box = run()
+    assert box.drain_rest(events(spark, [0]), 2) == 3
+    sent = [r.id for r in log.read(spark).collect()]
+    assert sorted(sent) == [i for i in range(22) if i != 7]
+    status = {r.id: (r.status, r.attempts, r.error and len(r.error)) for r in box.status().collect()}
+    assert status[7] == ("poisoned", 3, 1000) and all(v == ("published", 0, None) for k, v in status.items() if k != 7)
+
+
+def test_claims_are_bounded_and_oldest_first(spark, tmp_path):
+    log = outbox.Log(str(tmp_path / "log"))
+    box = outbox.Outbox(spark, str(tmp_path / "box"), log, most=4)
+    box.drain(events(spark, range(10)), 0)
+    assert {r.id for r in box.status().where("status = 'published'").collect()} == {0, 1, 2, 3}
+    assert box.drain_rest(events(spark, [0]), 1) == 3
+    parts = {r.id: r.batch for r in log.read(spark).collect()}
+    assert parts == {i: i // 4 for i in range(10)}
+    silent = outbox.Outbox(spark, str(tmp_path / "silent"), lambda claimed, number: claimed.select("id", F.lit(None).cast("string").alias("error")).limit(0), attempts=2)
+    silent.drain(events(spark, [1]), 0)
+    assert silent.drain_rest(events(spark, [0]), 1) == 2 and silent.status().first().status == "poisoned"
