@@ -29,12 +29,15 @@ from . import search
 from .staging import staged
 
 BUCKETS = 64
-#: Bytes of words that make a block at most (or one document, if it has more).
-BLOCK_BYTES = 8 << 20
+#: Bytes of words from which a block ends, and documents that a task takes at a time.
+BLOCK_BYTES, BATCH = 4 << 20, 1000
+#: Live or hidden documents whose marks are broadcast in a merge, a byte each; more are joined by a shuffle.
+MARKS = 20_000_000
 #: Expansions of a query's words that are broadcast; more are joined by a shuffle.
 NEAR = 10_000
 _ROWS = "bucket int, field string, term string, block string, places array<int>, counts array<int>, keys array<string>, lengths array<int>, gone boolean"
 _DOCS, _GONE = -1, -2
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _blocks(fields: Sequence[str], stems: bool, label: str):
@@ -71,15 +74,26 @@ def _blocks(fields: Sequence[str], stems: bool, label: str):
             yield pa.RecordBatch.from_arrays(columns, ["bucket", "field", "term", "block", "places", "counts", "keys", "lengths", "gone"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            piece = pa.Table.from_batches(held).combine_chunks()
+            columns = [c.chunk(0) for c in piece.columns]
+            yield from rows(f"{label}-{part}-{number}", columns[0], [pc.fill_null(c, "") for c in columns[1:]])
+
         for batch in batches:
             sizes = sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(i + 1)), 0), np.int64) for i in range(len(fields)))
-            share = (np.cumsum(sizes) - sizes) // BLOCK_BYTES
-            edges = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                piece = batch.slice(lo, hi - lo)
-                yield from rows(f"{label}-{part}-{number}", piece.column(0), [pc.fill_null(piece.column(i + 1), "") for i in range(len(fields))])
-                number += 1
+            at = 0
+            while at < batch.num_rows:
+                upto = at + int(np.searchsorted(np.cumsum(sizes[at:]), BLOCK_BYTES - size)) + 1
+                held.append(batch.slice(at, upto - at))
+                size += int(sizes[at:upto].sum())
+                at = min(upto, batch.num_rows)
+                if size >= BLOCK_BYTES:
+                    yield from flushed()
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield from flushed()
 
     return run
 
@@ -123,7 +137,12 @@ class Index:
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
         rows = rows.withColumn("bucket", F.coalesce("bucket", _bucket(F.col("term"))))
         dealt = rows.repartition(parts, "bucket", F.pmod(F.xxhash64("block"), F.lit(8))).sortWithinPartitions("bucket", "field", "term")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{kind}-{number:08d}")
+        before = self.spark.conf.get(_BATCH)
+        self.spark.conf.set(_BATCH, min(BATCH, int(before)))  # workers hold a block and a batch
+        try:
+            dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{kind}-{number:08d}")
+        finally:
+            self.spark.conf.set(_BATCH, before)
 
     def words(self, docs: DataFrame) -> DataFrame:
         """The key and each field's words joined by blanks."""
@@ -174,8 +193,10 @@ class Index:
         every = rows.where((F.col("bucket") == _DOCS) & (F.col("field") == field)).select("block", F.posexplode("keys").alias("place", "key"))
         # Of each block, place by place, whether its document is live; as long as the block.
         alive = every.join(live, ["block", "place"], "left").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce("live", F.lit(False)).alias("live")))).alias("alive"))
-        alive = alive.select("block", F.transform("alive", lambda x: x["live"]).alias("alive")).where(F.array_contains("alive", True))
-        rows = rows.join(alive, "block").withColumn("whole", ~F.array_contains("alive", False))
+        alive = staged(alive.select("block", F.transform("alive", lambda x: x["live"]).alias("alive")).where(F.array_contains("alive", True)))
+        alive = alive.withColumn("whole", ~F.array_contains("alive", False))
+        size = alive.agg(F.sum(F.size("alive"))).first()[0] or 0
+        rows = rows.join(F.broadcast(alive) if size <= MARKS else alive, "block")
         stays = lambda place: F.element_at("alive", place + 1)
         here = F.filter(F.arrays_zip("places", "counts"), lambda z: stays(z["places"]))
         cut = F.when(F.col("whole"), F.arrays_zip("places", "counts")).otherwise(here)
