@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table
+from .spans import bound, running
 
 WINDOW = 20
 #: Bits of entropy of the best window from which a candidate is reported, by class.
@@ -45,26 +46,12 @@ HEX_RUN = "[0-9a-f]{%d,}|[0-9A-F]{%d,}" % (WINDOW, WINDOW)
 KINDS = ["assign", "access", "hex", "entropy"]
 
 
-def _running(sizes: Column) -> Column:
-    """Running sums of an array, by adding it to itself shifted by 1, 2, 4, ...: in time n log n, where a fold that appends
-    to an array takes the square of n."""
-
-    def shifted(by: int):
-        added = lambda p: F.zip_with(p, F.concat(F.array_repeat(F.lit(0), F.least(F.size(p), F.lit(by))), F.slice(p, F.lit(1), F.size(p) - by)), lambda x, y: x + y)
-        return lambda p: F.when(F.size(p) > by, added(p)).otherwise(p)
-
-    for k in range(31):
-        # The array of one binds the sums so far, which are used more than once.
-        sizes = F.element_at(F.transform(F.array(sizes), shifted(1 << k)), 1)
-    return sizes
-
-
 def _matches(text: Column, pattern: str) -> Column:
     """Array of (start, end, found) of the leftmost matches that don't overlap, in code points."""
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     none = F.expr("cast(array() as array<struct<start: int, end: int, found: string>>)")
     both = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda x, y: F.length(x) + F.length(y))
-    listed = F.zip_with(_running(both), found, lambda end, x: F.struct((end - F.length(x)).alias("start"), end.alias("end"), x.alias("found")))
+    listed = F.zip_with(running(both), found, lambda end, x: F.struct((end - F.length(x)).alias("start"), end.alias("end"), x.alias("found")))
     return F.when(text.rlike(pattern), listed).otherwise(none)
 
 
@@ -73,21 +60,26 @@ def _term(count: Column) -> Column:
 
 
 def _least_sum(text: Column, alphabet: str) -> Column:
-    """The smallest sum of c * log2(c) over the windows of a candidate of one class."""
-    places = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(alphabet), c))
-    zero = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0).alias("total"), F.lit(2**31 - 1).alias("least"), places.alias("places"))
+    """The smallest sum of c * log2(c) over the windows of a candidate of one class. The fold runs over what comes in and
+    goes out at each step, so its state is the counts of one window and two numbers, however long the candidate is."""
+    zero = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0).alias("total"), F.lit(2**31 - 1).alias("least"))
 
-    def step(state: Column, i: Column) -> Column:
-        comes = F.element_at(state["places"], i)
-        goes = F.when(i > WINDOW, F.element_at(state["places"], i - WINDOW)).otherwise(F.lit(0))
+    def step(state: Column, p: Column) -> Column:
+        comes, goes = p["comes"], p["goes"]
         had = F.element_at(state["counts"], comes)
         loses = F.element_at(state["counts"], F.greatest(goes, F.lit(1))) + (goes == comes).cast("int")
         total = state["total"] + _term(had + 1) - _term(had) + F.when(goes > 0, _term(loses - 1) - _term(loses)).otherwise(F.lit(0))
         counts = F.transform(state["counts"], lambda n, j: n + (j + 1 == comes).cast("int") - (j + 1 == goes).cast("int"))
-        least = F.when(i >= WINDOW, F.least(state["least"], total)).otherwise(state["least"])
-        return F.struct(counts.alias("counts"), total.alias("total"), least.alias("least"), state["places"].alias("places"))
+        least = F.when(p["full"], F.least(state["least"], total)).otherwise(state["least"])
+        return F.struct(counts.alias("counts"), total.alias("total"), least.alias("least"))
+
+    def folded(places: Column) -> Column:
+        goes = F.slice(F.concat(F.array_repeat(F.lit(0), WINDOW), places), F.lit(1), F.size(places))
+        pairs = F.zip_with(places, goes, lambda c, g: F.struct(c.alias("comes"), g.alias("goes")))
+        pairs = F.transform(pairs, lambda p, i: F.struct(p["comes"].alias("comes"), p["goes"].alias("goes"), (i + 1 >= WINDOW).alias("full")))
+        return F.aggregate(pairs, zero, step, lambda state: state["least"])
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(text)), zero, step, lambda state: state["least"])
+    return bound(F.transform(F.split(text, ""), lambda c: F.instr(F.lit(alphabet), c)), folded)
 
 
 def _reported(found: Column) -> Column:

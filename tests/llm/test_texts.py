@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -257,6 +258,20 @@ def test_entropy_windows(spark):
         assert want == any(s.kind == "entropy" for s in row.secrets), t
 
 
+def test_secrets_of_very_long_candidates(spark):
+    """Time follows the length: sixteen times as long takes no more than some forty times as long, start-up left out."""
+    rng = random.Random(8)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    took = []
+    for n in (1000, 20_000, 320_000):
+        text = "x " + "".join(rng.choice(signs) for _ in range(n)) + " y"
+        began = time.perf_counter()
+        found = secrets.scan(frame(spark, [(1, text)])).first().secrets
+        took.append(time.perf_counter() - began)
+        assert [(s.kind, s.start, s.end) for s in found if s.kind == "entropy"] == [("entropy", 2, 2 + n)]
+    assert took[2] < 40 * max(took[1], 1)
+
+
 def test_secrets_of_one_case_and_within_candidates(spark):
     texts = {1: "k7q2x9w4m8z3p6v1t5r0b7n2", 2: "K7Q2X9W4M8Z3P6V1T5R0B7N2", 3: "id=9F8E7D6C5B4A39281706", 4: "qWertYuiOpAsdfGhjklZxCvbNm", 5: "internationalisation-of-everything", 6: "aaaaaaaaaaaaaaaaaaaaaaaa1"}
     got = {r.doc_id: [s.kind for s in r.secrets] for r in secrets.scan(frame(spark, list(texts.items()))).collect()}
