@@ -59,3 +59,26 @@ def test_rules(spark):
     assert got == sorted((i, h, p, r or "", v) for i, h, p, r, v in want)
     assert {r.verdict for r in url_filter.judge(pages, url_filter.rule_table(spark, []), "block").collect()} == {"block"}
     assert url_filter.judge(pages.limit(0), url_filter.rule_table(spark)).count() == 0
+
+
+def test_many_rules_of_one_host(spark):
+    """10,000 paths behind one host, 300 of them nested in each other, and 23,000 URLs, most of them under that host."""
+    rng = random.Random(3)
+    deep = ["/d" + "x" * i for i in range(300)]
+    paths = {f"/{rng.randint(0, 10**6)}" for _ in range(9_700)} | set(deep)
+    rules = [(rng.choice(["allow", "block"]), "hub.example.org", p) for p in paths] + [("block", "org", "/d"), ("block", "org", "/d" + "x" * 290 + "y"), ("allow", "a.hub.example.org", "/")]
+    by = {(h, p): v for v, h, p in rules}
+    hosts = ["hub.example.org", "a.hub.example.org", "b.hub.example.org", "org", "com"]
+    some = sorted(paths)
+    urls = [(rng.choice(hosts), rng.choice(some) + rng.choice(["", "/", "7", "y"])) for _ in range(20_000)] + [("hub.example.org", "/same")] * 3_000
+    rows = spark.createDataFrame(rules, "verdict string, host string, path string")
+    got = {}
+    for r in url_filter.judge(spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in enumerate(urls)], "page_id long, url string"), rows, "none").collect():
+        assert r.page_id not in got
+        got[r.page_id] = (r.host, r.path, r.rule, r.verdict)
+    for i, (host, path) in enumerate(urls):
+        labels = host.split(".")
+        fits = [(len(h) + n, len(h), h + path[:n], by[h, path[:n]]) for h in (".".join(labels[j:]) for j in range(len(labels))) for n in range(len(path) + 1) if (h, path[:n]) in by]
+        best = max(fits, default=(0, 0, None, "none"))
+        assert got[i] == (host, path, *best[2:])
+    assert len(got) == len(urls)
