@@ -34,3 +34,45 @@ def expire(requests: DataFrame, state: str, deadline: str, now: Column, limit: i
     """Requests past their deadline that haven't ended, earliest first."""
     due = requests.where(F.col(state).isin("REQUESTED", "ACCEPTED") & (F.col(deadline) < now)).orderBy(deadline, *[c for c in requests.columns if c.endswith("id")])
     return due if limit is None else due.limit(limit)
+
+
+#: How long a request may stay unanswered or unfinished; a fixed value.
+EXPIRY = "7 days"
+OPEN = ["REQUESTED", "ACCEPTED"]
+
+
+def _longest(state: str = "REQUESTED") -> int:
+    return 1 + max((_longest(x) for x in NEXT.get(state, [])), default=0)
+
+
+def trace(audit: DataFrame, request: str, event: str, at: str, state: str, now: Column | None = None, expiry: str = EXPIRY) -> DataFrame:
+    """``(request_id, event_id, at, from_state, to_state, legal)``: each event against the state its request is in, and a
+    row without an event for each request that expired.
+
+    A request begins with its first REQUESTED and expires ``expiry`` after it if it is still open then: what comes later
+    meets EXPIRED. With ``now``, requests whose deadline is before it expire without a later event. Illegal events change
+    nothing. Events are taken in order of time and id; a redelivered row (equal in all four columns) counts once; of rows
+    with equal time and id the lesser state is first. Rows with a null request, event, time or state are left out.
+
+    A request passes at most as many states as the longest way through ``NEXT``, so there are that many rounds of a
+    minimum and a join by request. Minima combine before the shuffle and the other side of the join has a row per
+    request, so a request with a third of all events is split by the skew handling of joins, never one task's window.
+    """
+    rows = audit.select(F.col(request).alias("request_id"), F.col(event).alias("event_id"), F.col(at).alias("at"), F.col(state).alias("to_state")).dropna().distinct()
+    rows = rows.withColumn("place", F.struct("at", "event_id", "to_state"))
+    known = rows.groupBy("request_id").agg(F.min(F.when(F.col("to_state") == "REQUESTED", F.col("place"))).alias("last"), F.max("at").alias("latest"))
+    known = known.select("request_id", "latest", "last", (F.col("last.at") + F.expr(f"interval {expiry}")).alias("deadline"), F.when(F.col("last").isNotNull(), F.array("last")).otherwise(F.array().cast(f"array<{known.schema['last'].dataType.simpleString()}>")).alias("way"))
+    for _ in range(_longest() - 1):
+        follows = rows.join(known.where("last is not null").select("request_id", "last", "deadline"), "request_id").where((F.col("place") > F.col("last")) & legal(F.col("last.to_state"), F.col("to_state")))
+        follows = follows.where(~F.col("last.to_state").isin(OPEN) | (F.col("at") <= F.col("deadline"))).groupBy("request_id").agg(F.min("place").alias("next"))
+        known = known.join(follows, "request_id", "left").select("request_id", "latest", "deadline", F.col("next").alias("last"), F.when(F.col("next").isNotNull(), F.array_append("way", F.col("next"))).otherwise(F.col("way")).alias("way"))
+    ends = F.element_at("way", -1)["to_state"]
+    due = F.col("latest") > F.col("deadline") if now is None else (F.col("latest") > F.col("deadline")) | (F.col("deadline") < now)
+    known = known.select("request_id", "way", F.when(F.size("way") > 0, ends).alias("ends"), "deadline", due.alias("due"))
+    known = known.withColumn("expired_at", F.when(F.col("ends").isin(OPEN) & F.col("due"), F.col("deadline")))
+    before = F.filter("way", lambda x: x < F.col("place"))
+    from_state = F.when(F.col("at") > F.col("expired_at"), F.lit("EXPIRED")).when(F.size(before) > 0, F.element_at(before, -1)["to_state"])
+    met = rows.join(known.select("request_id", "way", "expired_at"), "request_id")
+    met = met.select("request_id", "event_id", "at", from_state.alias("from_state"), "to_state", F.array_contains("way", F.col("place")).alias("legal"))
+    timed = known.where("expired_at is not null").select("request_id", F.lit(None).cast(rows.schema["event_id"].dataType).alias("event_id"), F.col("expired_at").alias("at"), F.col("ends").alias("from_state"), F.lit("EXPIRED").alias("to_state"), F.lit(True).alias("legal"))
+    return met.unionByName(timed)
