@@ -65,3 +65,29 @@ def hard_delete(rows: DataFrame, doomed: DataFrame, key: str, referring: DataFra
     left = kept.select(F.col(key).alias("__key")).distinct()
     emptied = referring.join(left, F.col(key) == F.col("__key"), "left").withColumn(key, F.col("__key")).drop("__key")
     return kept, emptied
+
+
+def _last(column: str, order: list[str]) -> Column:
+    """The last value that isn't null; it combines before the shuffle."""
+    return F.max(F.when(F.col(column).isNotNull(), F.struct(*order, column)))[column]
+
+
+def upsert_companies(companies: DataFrame, incoming: DataFrame, slug: str, name: str, optional: list[str], order: list[str]) -> DataFrame:
+    """``companies`` (slug, name and the optional columns) after each row of ``incoming`` in ``order``, nulls first, was put in.
+
+    The name is always replaced, an optional column only by a value that isn't null. A slug that is new is a new company.
+    Rows of ``incoming`` with a null slug are left out, and a null name replaces nothing. ``companies`` has a row for each slug.
+    """
+    new = incoming.where(F.col(slug).isNotNull()).groupBy(slug).agg(*[_last(c, order).alias(f"__{c}") for c in [name, *optional]], F.lit(True).alias("__in"))
+    rows = companies.select(slug, name, *optional).withColumn("__old", F.lit(True)).join(new, slug, "full_outer")
+    return rows.select(slug, *[F.coalesce(f"__{c}", c).alias(c) for c in [name, *optional]], F.col("__old").isNull().alias("is_new"))
+
+
+def register_boards(boards: DataFrame, incoming: DataFrame, key: list[str], fields: list[str], order: list[str]) -> DataFrame:
+    """``boards`` (key, fields, enabled) after registrations: one that is known is enabled again and keeps its fields, a new one
+    takes them from its first registration in ``order``, nulls first. Rows of ``incoming`` with a null in the key are left out; ``boards`` has a row for
+    each key."""
+    new = incoming.dropna(subset=key).groupBy(*key).agg(F.min(F.struct(*order, *[F.col(c).alias(f"__{c}") for c in fields])).alias("__first"))
+    rows = boards.select(*key, *fields, "enabled", F.lit(True).alias("__old")).join(new, key, "full_outer")
+    known = F.col("__old").isNotNull()
+    return rows.select(*key, *[F.when(known, F.col(c)).otherwise(F.col(f"__first.__{c}")).alias(c) for c in fields], (F.col("__first").isNotNull() | F.coalesce("enabled", F.lit(False))).alias("enabled"), (~known).alias("is_new"))

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import metrics, quota
+from ..operators import ingest, metrics, observed, quota
 from ..operators.staging import folder
 from ..sources import conditional
 from .base import query, table
@@ -98,3 +98,41 @@ def counter_rates(spark, sf_dir):
     rows = table(spark, sf_dir, "clicks").select("kind", "ts", _k().alias("k"))
     rows = metrics.counter_rates(rows, ["kind"], "ts", "k", 6 * _HOUR, _HOUR)
     return rows.withColumn("rate", F.round("rate", 9))
+
+
+_OUTCOMES = ["view", "click", "purchase"]
+
+
+@query(f"""with h as (select case when kind in ('view', 'click', 'purchase') then kind else 'other' end as outcome, count(*) as events, count(value) as n, sum(value) as total, {", ".join(f"count(*) filter (value <= {b}) as c{i}" for i, b in enumerate(_BOUNDS))} from clicks group by 1)
+select outcome, events, round(total, 2) as total, {", ".join(f"round({_quantile_sql(q)}, 6)::double as {name}" for name, q in _QUANTILES.items())} from h""")
+def observed_outcomes(spark, sf_dir):
+    """Counters and quantiles of clicks by kind, taken while the clicks are written elsewhere."""
+    rows, seen = observed.observe(table(spark, sf_dir, "clicks"), f"clicks-{uuid.uuid4().hex}", "kind", _OUTCOMES, "value", _BOUNDS)
+    rows.write.parquet(f"{folder(spark)}/observed-{uuid.uuid4().hex}")
+    found = observed.told(spark, seen, _OUTCOMES, _BOUNDS)
+    return found.select("outcome", F.col("n").alias("events"), F.round("total", 2).alias("total"), *[F.round(metrics.quantile(F.col("counts"), _BOUNDS, q), 6).alias(name) for name, q in _QUANTILES.items()])
+
+
+_KNOWN = "(select client_id, arg_max(segment, (updated_at, source)) as segment, arg_max(city, (updated_at, source)) as city from clients where client_id % 3 <> 0 group by 1)"
+_ORDER = ["valid_at", "seq", "change_id"]
+
+
+def _clients(spark, sf_dir):
+    """Two in three clients, a row for each."""
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("updated_at", "source", c)))[c].alias(c)
+    return table(spark, sf_dir, "clients").where("client_id % 3 <> 0").groupBy("client_id").agg(last("segment"), last("city"))
+
+
+@query(f"""with i as (select client_id, arg_max(source, n) as source, arg_max(segment, n) as segment, arg_max(city, n) as city from (select *, row_number() over (order by valid_at nulls first, seq nulls first, change_id nulls first) as n from client_changes) where client_id is not null group by 1)
+select client_id, coalesce(i.segment, k.segment) as segment, coalesce(i.city, k.city) as city, k.client_id is null as is_new from i full join {_KNOWN} k using (client_id)""")
+def upsert_companies(spark, sf_dir):
+    """Clients as companies, their segment as the name, and changes that come in order."""
+    return ingest.upsert_companies(_clients(spark, sf_dir), table(spark, sf_dir, "client_changes"), "client_id", "segment", ["city"], _ORDER)
+
+
+@query(f"""with i as (select client_id, arg_min_null(city, n) as city from (select *, row_number() over (order by valid_at nulls first, seq nulls first, change_id nulls first, city nulls first) as n from client_changes) where client_id is not null group by 1)
+select client_id, case when k.client_id is null then i.city else k.city end as city, i.client_id is not null or client_id % 2 = 0 as enabled, k.client_id is null as is_new from i full join {_KNOWN} k using (client_id)""")
+def register_boards(spark, sf_dir):
+    """Clients as boards of which those with odd ids are off, and changes as registrations."""
+    boards = _clients(spark, sf_dir).withColumn("enabled", F.col("client_id") % 2 == 0)
+    return ingest.register_boards(boards, table(spark, sf_dir, "client_changes"), ["client_id"], ["city"], _ORDER)

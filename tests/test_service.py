@@ -2,13 +2,14 @@
 
 import math
 import random
+import time
 from collections import defaultdict
 from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.operators import metrics, quota
+from gristmill.operators import ingest, metrics, observed, quota
 from gristmill.sources import conditional
 
 START = datetime(2024, 1, 1)
@@ -185,3 +186,64 @@ def test_counter_rates(spark):
     assert got == {k: pytest.approx(v) for k, v in want.items()}
     assert ("alone", 60) not in got and got["flat", 60][2] == 0
     assert metrics.counter_rates(frame.limit(0), ["series"], "ts", "v", 300, 60).count() == 0
+
+
+OUTCOMES, BOUNDS = ["ok", "failed"], [1.0, 5.0]
+
+
+def outcomes():
+    draw = random.Random(3)
+    return [(draw.choice(["ok", "ok", "failed", "odd", None]), draw.choice([0.5, 1.0, 3.0, 9.0, None])) for _ in range(400)]
+
+
+def plain_measures(rows):
+    out = []
+    for name in [*OUTCOMES, "other"]:
+        mine = [v for o, v in rows if (o if o in OUTCOMES else "other") == name]
+        values = [v for v in mine if v is not None]
+        out.append((name, len(mine), sum(values), [sum(v <= b for v in values) for b in BOUNDS] + [len(values)]))
+    return out
+
+
+def test_measures_pass_by_in_a_batch(spark, tmp_path):
+    for rows in (outcomes(), []):
+        frame, seen = observed.observe(spark.createDataFrame(rows, "o string, v double"), f"batch-{len(rows)}", "o", OUTCOMES, "v", BOUNDS)
+        frame.write.parquet(str(tmp_path / str(len(rows))))
+        assert [tuple(r) for r in observed.told(spark, seen, OUTCOMES, BOUNDS).collect()] == plain_measures(rows)
+
+
+def test_measures_pass_by_in_a_stream(spark, tmp_path):
+    rows = outcomes()
+    for i in range(4):
+        spark.createDataFrame(rows[i * 100 : i * 100 + 100], "o string, v double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("o string, v double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    counters = observed.Counters("passing", OUTCOMES, BOUNDS)
+    spark.streams.addListener(counters)
+    try:
+        frame, _ = observed.observe(stream, "passing", "o", OUTCOMES, "v", BOUNDS)
+        frame.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+        end = time.monotonic() + 20  # progress is told a little later
+        while counters.totals() != plain_measures(rows) and time.monotonic() < end:
+            time.sleep(0.1)
+        assert counters.totals() == plain_measures(rows)
+    finally:
+        spark.streams.removeListener(counters)
+
+
+def test_a_batch_told_again_counts_once():
+    counters = observed.Counters("x", ["a"], [1])
+    for stream, batch, n in (("s", 0, 2), ("s", 1, 3), ("s", 1, 3), ("s", 0, 2), ("s", 4, 1), ("t", 0, 10)):
+        counters.add(stream, batch, {"0_n": n})
+    assert counters.totals()[0] == ("a", 16, 0.0, [0, 0])
+
+
+def test_companies_and_boards(spark):
+    companies = spark.createDataFrame([("a", "A", "a.example", None), ("b", "B", None, "b/jobs")], "slug string, name string, domain string, url string")
+    incoming = spark.createDataFrame([("a", 2, "A2", None, "a/2"), ("a", 1, "A1", "old.example", "a/1"), ("c", 1, "C", None, None), ("c", 2, None, "c.example", None), (None, 1, "N", "n", "n"), ("a", 3, "A3", None, None), ("a", 3, "A3", None, None)], "slug string, n int, name string, domain string, url string")
+    found = ingest.upsert_companies(companies, incoming, "slug", "name", ["domain", "url"], ["n"])
+    assert sorted(map(tuple, found.collect())) == [("a", "A3", "old.example", "a/2", False), ("b", "B", None, "b/jobs", False), ("c", "C", "c.example", None, True)]
+    assert sorted(map(tuple, ingest.upsert_companies(companies, incoming.limit(0), "slug", "name", ["domain", "url"], ["n"]).collect())) == [("a", "A", "a.example", None, False), ("b", "B", None, "b/jobs", False)]
+    boards = spark.createDataFrame([("x", "1", 60, False), ("x", "2", 60, False), ("y", "1", None, True)], "source string, token string, seconds int, enabled boolean")
+    again = spark.createDataFrame([("x", "1", 1, 900), ("y", "1", 1, 900), ("y", "2", 2, 300), ("y", "2", 1, None), (None, "1", 1, 1), ("x", None, 1, 1)], "source string, token string, n int, seconds int")
+    found = ingest.register_boards(boards, again, ["source", "token"], ["seconds"], ["n"])
+    assert sorted(map(tuple, found.collect())) == [("x", "1", 60, True, False), ("x", "2", 60, False, False), ("y", "1", None, True, False), ("y", "2", None, True, True)]
