@@ -113,6 +113,23 @@ def test_assignment(spark):
     assert got == matching.assign(pairs).collect()
 
 
+def test_assignment_of_requests_by_kind(spark):
+    """Null and blank departments, equal scores, requests that find no place, referrers without capacity; no plan has pairs."""
+    import random
+
+    draw = random.Random(3)
+    stacks = [["java"], ["go", "java"], [], ["Rust"]]
+    requests = [(draw.choice("jkl"), i, draw.choice(["core", "Core", "", None]), draw.choice(["SENIOR", "STAFF", "x"]), draw.choice(stacks), draw.choice([1, 2, None])) for i in range(200)]
+    requests = spark.createDataFrame(requests, "job string, request_id long, department string, level string, stack array<string>, requested_at long")
+    referrers = [(draw.choice("jkm"), i, draw.choice(["core", ""]), draw.choice(["STAFF", "MANAGER"]), draw.choice(stacks), draw.choice([0.25, 0.5]), draw.choice([-1, 0, 1, 3])) for i in range(30)]
+    referrers = spark.createDataFrame(referrers, "job string, referrer_id long, department string, level string, stack array<string>, reputation double, capacity int")
+    want = matching.assign(matching.affinities(requests, referrers))
+    got = matching.assign_all(requests, referrers)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 20
+    kinds = requests.select("job", "department", "level", "stack").distinct().join(referrers.select("job"), "job").count()
+    assert matching._kinds(matching._of_kind(requests), referrers, scores.MatchWeights()).count() == kinds < matching.affinities(requests, referrers).count()
+
+
 def test_dedup_trio(spark):
     text = "You will own the ledger that moves money for customers in forty countries and keep it correct under load. "
     rows = [(1, "Senior Software Engineer, Payments", text), (2, "Site Reliability Engineer", "Run clusters, page budgets and capacity plans for every service we have. "), (3, "Sr. Software Engineer - Payments", text)]
