@@ -130,6 +130,25 @@ def test_assignment_of_requests_by_kind(spark):
     assert matching._kinds(matching._of_kind(requests), referrers, scores.MatchWeights()).count() == kinds < matching.affinities(requests, referrers).count()
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_requests_and_referrers_are_spread(spark, tmp_path):
+    requests = spark.range(40).select(F.lit("j").alias("job"), F.col("id").alias("request_id"), F.lit("core").alias("department"), (F.col("id") % 9).cast("string").alias("level"), F.array(F.lit("java")).alias("stack"), "id")
+    referrers = spark.range(9).select(F.lit("j").alias("job"), F.col("id").alias("referrer_id"), F.lit("core").alias("department"), F.lit("x").alias("level"), F.array(F.lit("java")).alias("stack"), F.lit(0.5).alias("reputation"), F.lit(1).alias("capacity"))
+    rows = matching.affinities(requests.withColumnRenamed("id", "requested_at"), referrers)
+    assert rows.count() == 360 and "REPARTITION_BY_NUM" in _plan(rows)
+
+
+def test_bands_of_small_files_are_not_broadcast(spark, tmp_path):
+    """The files are small, the rows of their bands are not."""
+    rows = spark.range(500).select(F.col("id").alias("posting_id"), F.lit("c").alias("company"), F.array_repeat((F.col("id") % 50).cast("int"), 128).alias("signature"), F.array(F.lit("x")).alias("shingles"))
+    rows.write.parquet(str(tmp_path / "prints"))
+    pairs = dedup.candidates(spark.read.parquet(str(tmp_path / "prints")))
+    assert "BroadcastExchange" not in _plan(pairs) and pairs.count() == 50 * 45
+
+
 def test_dedup_trio(spark):
     text = "You will own the ledger that moves money for customers in forty countries and keep it correct under load. "
     rows = [(1, "Senior Software Engineer, Payments", text), (2, "Site Reliability Engineer", "Run clusters, page budgets and capacity plans for every service we have. "), (3, "Sr. Software Engineer - Payments", text)]
