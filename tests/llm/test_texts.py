@@ -416,3 +416,19 @@ def test_packing_keeps_every_word(spark):
 def test_queries_have_names_and_columns(spark, sf_dir):
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
     assert hashlib.sha256(b"").hexdigest() == decontaminate.op8_decontaminate(spark, sf_dir).where("n_items = 0").first().items_sha256
+
+
+def test_links_of_lines_in_one_very_large_bucket(spark, monkeypatch):
+    """All lines are in one bucket, beyond any size at which it was split by pairs of keys; those before a line by signature
+    are of other components, so links come from the exact way alone."""
+    draw = random.Random(5)
+    letters = [chr(c) for c in range(97, 123)] + ["\u00e9", "\u4e2d"]
+    bases = ["".join(draw.choice(letters) for _ in range(60)) for _ in range(150)]
+    rows = [(i, b) for i, b in enumerate(bases)] + [(1000 + i, b[:30] + "#" + b[31:]) for i, b in enumerate(bases)]
+    monkeypatch.setattr(line_dedup, "BANDS", [(0, 1, 2, 3)])
+    monkeypatch.setattr(line_dedup, "PASSES", 1)
+    monkeypatch.setattr(line_dedup, "FEW", 0)
+    monkeypatch.setattr(line_dedup, "DEEP", 16, raising=False)
+    monkeypatch.setattr(line_dedup, "_minimum", lambda i: F.col(f"p_{i // 2}").bitwiseAND(F.lit(0)))
+    gone = line_dedup.duplicate_lines(frame(spark, rows)).collect()
+    assert {r.doc_id for r in gone} == {1000 + i for i in range(150)}
