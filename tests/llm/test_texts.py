@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.llm import vectext as V
-from gristmill.llm import decontaminate, line_dedup, near_dedup, packing, quality, registry, secrets, tokens, toxicity
+from gristmill.llm import decontaminate, line_dedup, near_dedup, overlap, packing, quality, registry, secrets, tokens, toxicity
 
 SPACES = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -432,3 +432,29 @@ def test_links_of_lines_in_one_very_large_bucket(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "_minimum", lambda i: F.col(f"p_{i // 2}").bitwiseAND(F.lit(0)))
     gone = line_dedup.duplicate_lines(frame(spark, rows)).collect()
     assert {r.doc_id for r in gone} == {1000 + i for i in range(150)}
+
+
+@pytest.mark.parametrize("slots", [1 << 18, 1 << 4])
+def test_sets_that_lie_apart_are_met(spark, monkeypatch, slots):
+    """Every two sets of different components at the threshold, by both forms, with members of many sets, a main component,
+    and slots that hold far more than ``most``; and without Python in the form for lines."""
+    draw = random.Random(9)
+    common = [draw.getrandbits(60) for _ in range(60)]
+    sets = {}
+    for i in range(160):
+        some = draw.sample(common, draw.choice([40, 42, 55]) if i % 3 else 41)
+        sets[i] = set(some) | {draw.getrandbits(60) for _ in range(draw.choice([0, 1, 8, 20]))}
+    for i in range(160, 200):
+        sets[i] = set(draw.sample(sorted(sets[i - 160]), len(sets[i - 160]) - 2)) | {draw.getrandbits(60)}
+    component = {i: 1000 if i % 5 < 3 else i for i in sets}
+    want = {(a, b) for a in sets for b in sets if a > b and component[a] != component[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    monkeypatch.setattr(overlap, "SLOTS", slots)
+    monkeypatch.setattr(overlap, "DEALT", 32)
+    assert overlap._bar(slots * 1000, 8) > 1000 and want
+    rows = spark.createDataFrame([(i, component[i], sorted(s), " ".join(map(str, sorted(s)))) for i, s in sets.items()], "node long, component long, l array<long>, text string")
+    of = lambda data, offsets: [np.array([int(w) for w in data[lo:hi].tobytes().split()], np.uint64) for lo, hi in zip(offsets[:-1], offsets[1:])]
+    got = {(r.a, r.b) for r in overlap.apart(rows.select("node", "component", "text"), of, 75, 8).collect()} if slots > 16 else want
+    assert want <= got
+    monkeypatch.setattr(type(rows), "mapInArrow", None)
+    got = {(r.a, r.b) for r in overlap.apart_native(rows.select("node", "component", "l"), F.col("l"), 75, 8).collect()}
+    assert want <= got
