@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import kernels
 from .hashing import fnv1a
 from .text import STOPWORDS
 
@@ -92,28 +93,29 @@ def embedder(lexicon: dict[str, list[str]] = LEXICON):
 
     def place(term: str) -> tuple[int, float]:
         if term not in known:
-            if len(known) > 500_000:
+            if len(known) > 100_000:
                 known.clear()
             h = _spread(fnv1a(term.encode()))
             known[term] = (h % DIMENSIONS, 1.0 if h >> 63 == 0 else -1.0)
         return known[term]
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def embed(texts: pd.Series) -> pd.Series:
-        rows = []
-        for text in texts.fillna(""):
-            padded = f" {text} "
-            terms = [(f"concept:{n}", CONCEPT_WEIGHT) for n, forms in lexicon.items() if any(f" {f} " in padded for f in forms)]
-            terms += [(f"token:{w}", TOKEN_WEIGHT) for w in text.split(" ") if len(w) >= 2 and w not in stop]
-            vector = np.zeros(DIMENSIONS, np.float32)
-            for term, weight in terms:
-                at, sign = place(term)
-                vector[at] += weight * sign
-            norm = np.sqrt((vector * vector).sum(dtype=np.float32))
-            if norm == 0:
-                vector[0] = norm = np.float32(1)
-            rows.append(vector / norm)
-        return pd.Series(rows)
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def embed(texts: pa.Array) -> pa.Array:
+        vectors = np.zeros((len(texts), DIMENSIONS), np.float32)
+        for lo, hi, _, _ in kernels.pieces(texts):
+            for vector, text in zip(vectors[lo:hi], texts.slice(lo, hi - lo).to_pylist()):
+                text = text or ""
+                padded = f" {text} "
+                terms = [(f"concept:{n}", CONCEPT_WEIGHT) for n, forms in lexicon.items() if any(f" {f} " in padded for f in forms)]
+                terms += [(f"token:{w}", TOKEN_WEIGHT) for w in text.split(" ") if len(w) >= 2 and w not in stop]
+                for term, weight in terms:
+                    at, sign = place(term)
+                    vector[at] += weight * sign
+                norm = np.sqrt((vector * vector).sum(dtype=np.float32))
+                if norm == 0:
+                    vector[0] = norm = np.float32(1)
+                vector /= norm
+        return pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * DIMENSIONS, vectors.ravel())
 
     return embed
 

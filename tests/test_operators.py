@@ -284,3 +284,22 @@ def test_lexical_leg_against_plain_scores(spark):
             if score:
                 want[i] = max(want.get(i, 0), boost * score)
     assert got == pytest.approx(want)
+
+
+def test_large_batches_are_taken_in_pieces():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from gristmill.functions import embedding, text
+
+    size = 4000
+    texts = pa.array([None, "über café", *["übung wörter plain " * 150 for _ in range(size)], "plain", ""])
+    tracemalloc.start()
+    got = text._without_marks.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[:2].to_pylist() == [None, "uber cafe"] and got[-2:].to_pylist() == ["plain", ""] and got[-3].as_py() == "ubung worter plain " * 150
+    assert len(got) == len(texts) and peak < texts.nbytes
+    vectors = embedding.embedder().func(pa.array([None, "idiot with idiot"] * 3)).to_pylist()
+    assert vectors == [embedding.embed_words([], w).tolist() for w in ([], ["idiot", "idiot"])] * 3
