@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -178,6 +181,73 @@ def vector_leg(docs: DataFrame, vector: list[float], key: str = "id", column: st
     return docs.select(key, embedding.dot(F.col(column), F.array(*[F.lit(float(x)) for x in vector])).alias("score"))
 
 
+#: Queries and rows of one block, and products of one piece of it: what a task holds at once, whatever the tables' size.
+QUERY_BLOCK, ROW_BLOCK, PRODUCTS = 4096, 16384, 1 << 22
+
+
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Rows of doubles; a null vector, or one with a null in it, is a row of NaN."""
+    found = np.concatenate([c.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False) for c in vectors.chunks])
+    out = np.full((len(vectors), len(found) // max(len(vectors) - vectors.null_count, 1)), np.nan)
+    out[vectors.is_valid().to_numpy()] = found.reshape(-1, out.shape[1])
+    return out
+
+
+def _sums(products: np.ndarray) -> np.ndarray:
+    """Sums of rows from left to right, as ``embedding.dot`` makes them."""
+    return np.add.accumulate(products, axis=1)[:, -1] if products.shape[1] else np.zeros(len(products))
+
+
+def _block_best(k: int) -> Callable:
+    """(q, vec_id, c): the ``k`` best of a block's rows for each of its queries. A product of matrices finds what may be among
+    them, a sum in the stated order decides."""
+
+    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        q, ids, scored = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if queries.num_rows and rows.num_rows:
+            asked, known = queries["vec_id"].to_numpy(), rows["vec_id"].to_numpy()
+            a, b = _matrix(queries["embedding"]), _matrix(rows["embedding"])
+            long_a, long_b = np.sqrt(_sums(a * a)), np.sqrt(_sums(b * b))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                unit_a, unit_b = a / long_a[:, None], (b / long_b[:, None]).T.copy()
+                for at in range(0, len(a), max(1, PRODUCTS // len(b))):
+                    piece = slice(at, at + max(1, PRODUCTS // len(b)))
+                    near = np.nan_to_num(unit_a[piece] @ unit_b, nan=-2.0)
+                    near[asked[piece][:, None] == known[None, :]] = -3.0
+                    bars = np.partition(near, -k, axis=1)[:, -k] if len(b) > k else np.full(len(near), -2.0)
+                    for i, (row, bar) in enumerate(zip(near, bars), at):
+                        few = np.flatnonzero((row >= bar - 1e-9) & (row > -3.0))
+                        c = _sums(a[i] * b[few]) / (long_a[i] * long_b[few])
+                        best = few[order := np.lexsort((known[few], -np.nan_to_num(c, nan=-2.0)))[:k]]
+                        q.append(np.full(len(best), asked[i]))
+                        ids.append(known[best])
+                        scored.append(c[order])
+        c = np.concatenate(scored)
+        return pa.table({"q": np.concatenate(q), "vec_id": np.concatenate(ids), "c": pa.array(c, mask=np.isnan(c))})
+
+    return run
+
+
+def exact_nearest(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """``(q, vec_id, n)``: for each of ``queries(vec_id, embedding)`` the ``k`` of ``rows(vec_id, embedding)`` with another id and
+    the best cosine, equals by id. What has no cosine (null, zero or a null within) comes last. All vectors have one length.
+
+    Every query meets every row, in blocks of bounded size whose pairs Spark deals over the tasks. Of equal vectors only the
+    ``k`` + 1 with the smallest ids meet queries, as no other can be among the ``k`` best beside a query itself.
+    """
+    same = Window.partitionBy("embedding").orderBy("vec_id")
+    rows = staged(rows.select("vec_id", "embedding").withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1).drop("place"))
+    queries = staged(queries.select("vec_id", "embedding"))
+    n_q, n_r = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_BLOCK), (rows, ROW_BLOCK)))
+    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("vec_id", "embedding", block(n_q).alias("qb"), every(n_r).alias("rb"))
+    right = rows.select("vec_id", "embedding", every(n_q).alias("qb"), block(n_r).alias("rb"))
+    pairs = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(_block_best(k), "q long, vec_id long, c double")
+    best = Window.partitionBy("q").orderBy(F.desc("c"), "vec_id")
+    return pairs.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("q", "vec_id", "n")
+
+
 def ranked(leg: DataFrame, depth: int, key: str = "id", name: str = "rank") -> DataFrame:
     """Places 1 to ``depth``; cut before it is numbered, so one task numbers ``depth`` rows at most."""
     top = leg.orderBy(F.desc("score"), key).limit(depth)

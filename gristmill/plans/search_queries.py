@@ -56,15 +56,8 @@ def fuzzy_terms(spark, sf_dir):
 select q, vec_id from (select *, row_number() over (partition by q order by c desc, vec_id) as n from s) where n <= 10""")
 def cosine_topk(spark, sf_dir):
     """Exact neighbours of the stated queries, those whose id is divisible by 20, against all vectors."""
-    from pyspark.sql import Window
-
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    rows = rows.withColumn("norm", F.sqrt(embedding.dot(F.col("embedding"), F.col("embedding"))))
-    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"), F.col("norm").alias("qn"))
-    pairs = queries.crossJoin(rows).where("vec_id <> q")
-    pairs = pairs.select("q", "vec_id", (embedding.dot(F.col("qe"), F.col("embedding")) / (F.col("qn") * F.col("norm"))).alias("c"))
-    best = Window.partitionBy("q").orderBy(F.desc("c"), "vec_id")
-    return pairs.withColumn("n", F.row_number().over(best)).where("n <= 10").select("q", "vec_id")
+    return search.exact_nearest(rows, rows.where("vec_id % 20 = 0")).select("q", "vec_id")
 
 
 @query()

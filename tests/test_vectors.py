@@ -65,3 +65,34 @@ def test_cells():
     sizes = {0: 10, 1: V.CELL - 5, 2: 3 * V.CELL + 1, 3: 1}
     first, count = V._cells(sizes, 5)
     assert count == [1, 1, 4, 1, 1] and first[0] == 0 and first[1] == 1 and first[2] == 2 and first[3] == first[4] == 6
+
+
+def test_exact_neighbours_in_small_blocks(spark, monkeypatch):
+    """Copies, equal scores, a zero vector and a null one, over many blocks: the same rows as the plain reckoning, and no
+    nested loop over pairs."""
+    from gristmill.operators import search
+
+    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(search, "ROW_BLOCK", 30)
+    monkeypatch.setattr(search, "PRODUCTS", 64)
+    draw = np.random.default_rng(3)
+    data = draw.integers(-3, 4, (200, 4)).astype(float)
+    data[40:100] = data[40]
+    data[7] = 0
+    rows = spark.createDataFrame([(i, None if i == 9 else v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<float>")
+    found = search.exact_nearest(rows, rows.where("vec_id % 20 = 0"), 10)
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+    want = {}
+    for q in range(0, 200, 20):
+        score = {}
+        for i in set(range(200)) - {q}:
+            total = lambda a, b: sum(x * y for x, y in zip(a.tolist(), b.tolist()))
+            lengths = np.sqrt(total(data[q], data[q])) * np.sqrt(total(data[i], data[i]))
+            score[i] = -2 if i == 9 or not lengths else total(data[q], data[i]) / lengths
+        want[q] = sorted(score, key=lambda i: (-score[i], i))[:10]
+    got = {q: [] for q in want}
+    for r in found.orderBy("q", "n").collect():
+        got[r.q].append(r.vec_id)
+    assert got == want
+    # The ones without a cosine come after all others.
+    assert {7, 9} == {r.vec_id for r in search.exact_nearest(rows, rows.where("vec_id = 0"), 199).where("n > 197").collect()}
