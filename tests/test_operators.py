@@ -303,3 +303,39 @@ def test_large_batches_are_taken_in_pieces():
     assert len(got) == len(texts) and peak < texts.nbytes
     vectors = embedding.embedder().func(pa.array([None, "idiot with idiot"] * 3)).to_pylist()
     assert vectors == [embedding.embed_words([], w).tolist() for w in ([], ["idiot", "idiot"])] * 3
+
+
+def test_canonical_form_is_made_on_bytes(spark):
+    """No expression looks for the runs that aren't kept, and the form is that of the plain steps: for every character,
+    marks in any order, and texts with nothing kept at their ends, or at all."""
+    import re
+    import unicodedata
+
+    import pyarrow as pa
+
+    from gristmill.functions import text as T
+
+    def plain(text):
+        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not "\u0300" <= c <= "\u036f")
+        return re.sub(T.NOT_KEPT, " ", text).strip(" ")
+
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = ["".join(every[i : i + 50]) for i in range(0, len(every), 50)] + [f"a{c}b" for c in every[:0x3000]]
+    texts += ["a\u0323\u0301\u0591b\u0591\u0323", "\u0301a", "ab", "cd", " ab ,", ", ", "", "e", "\u00e9", "\uac01\u0301x", "-", ""]
+    for some in (texts, texts[-12:], [""], ["?", ""], ["a"], ["", "a", ""], []):
+        assert T._plain(pa.array(some, pa.string())).to_pylist() == [plain(t) for t in some]
+    assert T._plain(pa.array(["x", "a, b", None, "c"]).slice(1)).to_pylist() == ["a b", "", "c"]
+    frame = spark.range(1).select(T.canonical(F.concat(F.lit("<b>Caf\u00c9</b>, C++ "), F.col("id"))).alias("c"))
+    assert T.NOT_KEPT not in frame._jdf.queryExecution().toString() and frame.first().c == "cafe c++ 0"
+
+
+def test_neighbours_similarities_are_made_of_one_pass(spark):
+    """Texts are signed once, no set of shingles is shuffled, and the exact similarity is that of the plain sets."""
+    from gristmill.plans import catalog
+
+    frame = catalog.QUERIES["minhash_estimate"](spark, "/root/testdata/sf0.001")
+    assert "ArrowEvalPython" not in frame._jdf.queryExecution().toString()
+    sets = {0: [], 1: ["a b c", "b c d"], 2: ["b c d", "x y z", "c d e"], 3: []}
+    rows = spark.createDataFrame([(sets[a], sets[b]) for a in sets for b in sets], "a array<string>, b array<string>")
+    got = rows.select("a", "b", T.set_jaccard(F.col("a"), F.col("b")).alias("j")).collect()
+    assert [r.j for r in got] == [len({*r.a} & {*r.b}) / len({*r.a} | {*r.b}) if r.a or r.b else 1.0 for r in got]
