@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import embedding, hashing, people, scores, titles
 from ..functions import text as T
 from ..sources import feeds
+from ..operators.staging import staged
 from .base import query, spread, table, values
 
 STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
@@ -82,9 +83,12 @@ def minhash_signature(spark, sf_dir):
 @query()
 def minhash_estimate(spark, sf_dir):
     """Neighbouring documents' estimated and exact similarity."""
-    rows = _tokens(spark, sf_dir).select("doc_id", T.shingles(F.col("t")).alias("s"), hashing.minhash_words()(F.array_join("t", " ")).alias("signature"))
-    other = rows.select((F.col("doc_id") + 1).alias("doc_id"), F.col("s").alias("s2"), F.col("signature").alias("signature2"))
-    return rows.join(other, "doc_id").select("doc_id", hashing.agreement(F.col("signature"), F.col("signature2")).alias("estimate"), T.jaccard(F.col("s"), F.col("s2")).alias("exact"))
+    # Signed once and staged as texts; sets of shingles are made behind the join, so that they are never shuffled.
+    rows = staged(_tokens(spark, sf_dir).select("doc_id", F.array_join("t", " ").alias("w")).select("doc_id", "w", hashing.minhash_words()("w").alias("signature")))
+    other = rows.select((F.col("doc_id") + 1).alias("doc_id"), F.col("w").alias("w2"), F.col("signature").alias("signature2"))
+    sets = [T.shingles(F.filter(F.split(w, " "), lambda x: x != "")).alias(s) for w, s in (("w", "s"), ("w2", "s2"))]
+    pairs = rows.join(other, "doc_id").select("doc_id", hashing.agreement(F.col("signature"), F.col("signature2")).alias("estimate"), *sets)
+    return pairs.select("doc_id", "estimate", T.set_jaccard(F.col("s"), F.col("s2")).alias("exact"))
 
 
 _BAND_ROWS = "select event_id, list_transform(range(0, 128), lambda j: (event_id * (j + 3) + user_id * (j // 4)) % 97) as s from events"
