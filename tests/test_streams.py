@@ -40,6 +40,25 @@ def test_canonical_jobs_by_micro_batches(spark, tmp_path):
     assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
 
 
+def test_canonical_jobs_settled_by_micro_batches(spark, tmp_path):
+    """Each micro-batch in one step on all cores, over a restart and a batch that is run again: as all at once."""
+    rows = postings(spark)
+    place, step = str(tmp_path / "out"), canonical.settle_into(str(tmp_path / "out"))
+    for start in (0, 1):
+        for k in (2 * start, 2 * start + 1):
+            part = rows.where((F.col("posting_id") >= 60 * k) & (F.col("posting_id") < 60 * (k + 1)))
+            part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.read(spark, str(tmp_path / "in"), files=1)
+        stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    step(part, 3)
+    got = canonical.settled(spark, place).collect()
+    want = dedup.canonicalize(dedup.fingerprints(rows)).collect()
+    plain = lambda found: {r.posting_id: (r.canonical_id, r.match_score and round(r.match_score, 9)) for r in found}
+    assert len(got) == 240 and plain(got) == plain(want)
+    assert sum(r.posting_id != r.canonical_id and r.canonical_id < 60 <= r.posting_id for r in got) > 10
+    assert canonical.settled(spark, str(tmp_path / "none")).count() == 0
+
+
 class Crash(Exception):
     pass
 
