@@ -58,10 +58,36 @@ def trace(audit: DataFrame, request: str, event: str, at: str, state: str, now:
     minimum and a join by request. Minima combine before the shuffle and the other side of the join has a row per
     request, so a request with a third of all events is split by the skew handling of joins, never one task's window.
     """
-    rows = audit.select(F.col(request).alias("request_id"), F.col(event).alias("event_id"), F.col(at).alias("at"), F.col(state).alias("to_state")).dropna().distinct()
-    rows = rows.withColumn("place", F.struct("at", "event_id", "to_state"))
+    rows = audited(audit, request, event, at, state)
+    return met(rows, ways(rows, now, expiry))
+
+
+def audited(audit: DataFrame, request: str, event: str, at: str, state: str) -> DataFrame:
+    """``(request_id, event_id, at, to_state)`` without nulls and redelivered rows."""
+    return audit.select(F.col(request).alias("request_id"), F.col(event).alias("event_id"), F.col(at).alias("at"), F.col(state).alias("to_state")).dropna().distinct()
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("place", F.struct("at", "event_id", "to_state"))
+
+
+def ways(rows: DataFrame, now: Column | None = None, expiry: str = EXPIRY, before: DataFrame | None = None) -> DataFrame:
+    """Of ``audited`` rows ``(request_id, way, ends, deadline, expired_at)``: each request's legal events in order, the state behind
+    the last, null if it hasn't begun, and when it expired.
+
+    ``before(request_id, state, deadline)`` is where requests that began earlier are. Their way begins with that state, without a
+    time and an event; they are there even if no event of theirs is.
+    """
+    rows = _placed(rows)
     known = rows.groupBy("request_id").agg(F.min(F.when(F.col("to_state") == "REQUESTED", F.col("place"))).alias("last"), F.max("at").alias("latest"))
-    known = known.select("request_id", "latest", "last", (F.col("last.at") + F.expr(f"interval {expiry}")).alias("deadline"), F.when(F.col("last").isNotNull(), F.array("last")).otherwise(F.array().cast(f"array<{known.schema['last'].dataType.simpleString()}>")).alias("way"))
+    until = F.col("last.at") + F.expr(f"interval {expiry}")
+    if before is not None:
+        fields = {f.name: f.dataType for f in known.schema["last"].dataType}
+        known = known.join(before.select("request_id", "state", F.col("deadline").alias("until")), "request_id", "full")
+        prior = F.struct(*[F.lit(None).cast(fields[c]).alias(c) for c in ("at", "event_id")], F.col("state").alias("to_state"))
+        known = known.select("request_id", "latest", F.when(F.col("state").isNotNull(), prior).otherwise(F.col("last")).alias("last"), "until")
+        until = F.coalesce("until", until)
+    known = known.select("request_id", "latest", "last", until.alias("deadline"), F.when(F.col("last").isNotNull(), F.array("last")).otherwise(F.array().cast(f"array<{known.schema['last'].dataType.simpleString()}>")).alias("way"))
     for _ in range(_longest() - 1):
         follows = rows.join(known.where("last is not null").select("request_id", "last", "deadline"), "request_id").where((F.col("place") > F.col("last")) & legal(F.col("last.to_state"), F.col("to_state")))
         follows = follows.where(~F.col("last.to_state").isin(OPEN) | (F.col("at") <= F.col("deadline"))).groupBy("request_id").agg(F.min("place").alias("next"))
@@ -69,7 +95,12 @@ def trace(audit: DataFrame, request: str, event: str, at: str, state: str, now:
     ends = F.element_at("way", -1)["to_state"]
     due = F.col("latest") > F.col("deadline") if now is None else (F.col("latest") > F.col("deadline")) | (F.col("deadline") < now)
     known = known.select("request_id", "way", F.when(F.size("way") > 0, ends).alias("ends"), "deadline", due.alias("due"))
-    known = known.withColumn("expired_at", F.when(F.col("ends").isin(OPEN) & F.col("due"), F.col("deadline")))
+    return known.select("request_id", "way", "ends", "deadline", F.when(F.col("ends").isin(OPEN) & F.col("due"), F.col("deadline")).alias("expired_at"))
+
+
+def met(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """What ``trace`` gives, of ``audited`` rows and their ``ways``."""
+    rows = _placed(rows)
     before = F.filter("way", lambda x: x < F.col("place"))
     from_state = F.when(F.col("at") > F.col("expired_at"), F.lit("EXPIRED")).when(F.size(before) > 0, F.element_at(before, -1)["to_state"])
     met = rows.join(known.select("request_id", "way", "expired_at"), "request_id")

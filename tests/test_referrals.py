@@ -103,3 +103,27 @@ def test_an_ended_request_is_forgotten_after_its_time(spark, tmp_path):
             got = jobs.run_once(referrals.follow(jobs.read(spark, str(tmp_path / "in"), files=1), "request", "event", "at", "state", keep="10 days"), place=str(tmp_path / "out")).where("request_id = 1").collect()
     # The fourth finds the request still ended, as its timer fires behind the batch that moves the watermark.
     assert [(r.event_id, r.from_state, r.legal) for r in sorted(got, key=lambda r: r.at_us)] == [(0, None, True), (1, "REQUESTED", True), (2, "DECLINED", False), (3, "DECLINED", False), (4, None, False)]
+
+
+def test_settled_by_micro_batches(spark, tmp_path):
+    """Rounds of joins from the states of the micro-batch before, over a restart, a late event and a batch that is run again."""
+    rows = [r for r in audit(3) if r[2] is not None]
+    latest = max(r[2] for r in rows)
+    place = str(tmp_path / "out")
+    step = referrals.settle_into(place, "request", "event", "at", "state")
+    cuts = [timedelta(days=d) for d in (0, 3, 6, 8, 11, 40)]
+    for i, (start, end) in enumerate(zip(cuts, cuts[1:])):
+        part = [r for r in rows if START + start <= r[2] < START + end]
+        part += [(5000, 5000, START, "REQUESTED", "late", 1)] if i == 4 else []
+        frame = spark.createDataFrame(part, SCHEMA).coalesce(1)
+        frame.write.mode("append").parquet(str(tmp_path / "in"))
+        if i in (2, 4):
+            stream = jobs.read(spark, str(tmp_path / "in"), files=1)
+            stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    step(frame, 4)
+    at = lambda r: START + timedelta(microseconds=r.at_us - 1_704_067_200_000_000)
+    want = brute(rows, latest - timedelta(hours=1))
+    assert plain(referrals.settled(spark, place).collect(), at) == want
+    states = spark.read.parquet(f"{place}/state/batch=4")
+    assert states.count() == states.select("request_id").distinct().count() > 100
+    assert referrals.settled(spark, str(tmp_path / "none")).count() == 0
