@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 #: Rows that the fit may see, lists at most, values of a code, rows of a cell, queries of a block.
 SAMPLE, LISTS, VALUES, CELL, BLOCK = 20_000, 4096, 256, 32_768, 4096
 TARGET = 0.97
+#: Rows that are held against all centres at a time, and queries against a cell: what a task needs is bounded by these.
+PIECE, ASKED = 1024, 64
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -35,6 +37,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return rows / np.where(norms > 0, norms, 1)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, PIECE):
+            yield batch.slice(a, PIECE)
+
+
 def _nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.argmax(rows @ centres.T - 0.5 * (centres * centres).sum(1), axis=1)
 
@@ -109,12 +117,11 @@ def coded(vectors: DataFrame, model: Model, column: str = "embedding", key: str
     """``(id, list, code)`` of every row; a null vector counts as zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                rows = _matrix(batch.column(1))
-                rows = rows if rows.shape[1] == model.centres.shape[1] else np.zeros((len(rows), model.centres.shape[1]), np.float32)
-                at = model.lists(rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in model.codes(rows, at)], pa.binary())], ["id", "list", "code"])
+        for batch in _pieces(batches):
+            rows = _matrix(batch.column(1))
+            rows = rows if rows.shape[1] == model.centres.shape[1] else np.zeros((len(rows), model.centres.shape[1]), np.float32)
+            at = model.lists(rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in model.codes(rows, at)], pa.binary())], ["id", "list", "code"])
 
     return vectors.select(F.col(key).cast("long").alias("id"), column).mapInArrow(run, "id long, list int, code binary")
 
@@ -134,6 +141,17 @@ def _cells(sizes: dict[int, int], lists: int) -> tuple[list[int], list[int]]:
     return first, count
 
 
+def _sent(model: Model, first: list[int], count: list[int]):
+    """Queries with the cells of the lists that they open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            cells = [sorted({c for i in of for c in range(first[i], first[i] + count[i])}) for of in model.opened(_matrix(batch.column(1)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.list_(pa.int32()))], ["q", "v", "cells"])
+
+    return run
+
+
 def _best(model: Model, shortlist: int):
     """The best of a cell for each query of a block that opens their lists."""
 
@@ -147,15 +165,15 @@ def _best(model: Model, shortlist: int):
             vectors = model.decoded(codes[order], at)
             own = np.asarray(queries["q"])
             wanted = _matrix(queries["v"].combine_chunks())
-            for a in range(0, len(own), 256):
-                part = wanted[a : a + 256]
+            for a in range(0, len(own), ASKED):
+                part = wanted[a : a + ASKED]
                 opened = np.zeros((len(part), len(model.centres)), bool)
                 np.put_along_axis(opened, model.opened(part), True, axis=1)
-                scores = np.where(opened[:, at] & (own[a : a + 256, None] != ids), part @ vectors.T, -np.inf)
+                scores = np.where(opened[:, at] & (own[a : a + ASKED, None] != ids), part @ vectors.T, -np.inf)
                 top = np.argsort(-scores, axis=1, kind="stable")[:, :shortlist] if scores.shape[1] <= 4 * shortlist else np.argpartition(-scores, shortlist, axis=1)[:, :shortlist]
                 found = np.take_along_axis(scores, top, axis=1)
                 q, place = np.nonzero(np.isfinite(found))
-                for values, of in zip((own[a : a + 256][q], ids[top[q, place]], found[q, place]), out):
+                for values, of in zip((own[a : a + ASKED][q], ids[top[q, place]], found[q, place]), out):
                     of.append(values)
         join = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
         return pa.table({"q": join(out[0], pa.int64()), "id": join(out[1], pa.int64()), "near": join(out[2], pa.float64())})
@@ -190,13 +208,7 @@ def nearest(index: DataFrame, vectors: DataFrame, queries: DataFrame, model: Mod
     # A list's queries are no more than all queries, so blocks of them bound a cell's.
     rows = index.select("id", "list", "code", (F.element_at(first_of, F.col("list") + 1) + F.pmod(F.xxhash64("id"), F.element_at(count_of, F.col("list") + 1))).cast("int").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                cells = [sorted({c for i in of for c in range(first[i], first[i] + count[i])}) for of in model.opened(_matrix(batch.column(1)))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.list_(pa.int32()))], ["q", "v", "cells"])
-
-    sent = asked.mapInArrow(opened, f"q long, v {asked.schema['v'].dataType.simpleString()}, cells array<int>")
+    sent = asked.mapInArrow(_sent(model, first, count), f"q long, v {asked.schema['v'].dataType.simpleString()}, cells array<int>")
     sent = sent.select("q", "v", F.explode("cells").alias("cell"), F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block"))
     close = rows.groupBy("cell", "block").cogroup(sent.groupBy("cell", "block")).applyInArrow(_best(model, shortlist), "q long, id long, near double")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near"), "id"))

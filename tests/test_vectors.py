@@ -1,6 +1,9 @@
 """Approximate neighbours against exact ones."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gristmill.operators import vectors as V
@@ -96,3 +99,19 @@ def test_exact_neighbours_in_small_blocks(spark, monkeypatch):
     assert got == want
     # The ones without a cosine come after all others.
     assert {7, 9} == {r.vec_id for r in search.exact_nearest(rows, rows.where("vec_id = 0"), 199).where("n > 197").collect()}
+
+
+def test_a_task_is_bounded_by_pieces():
+    """What a task makes beside its rows, with as many lists as there may be, a full Arrow batch, a full cell and many queries."""
+    draw = np.random.default_rng(3)
+    unit = lambda n: draw.standard_normal((n, 32)).astype(np.float32)
+    model = V.Model(unit(V.LISTS), unit(256).reshape(4, 256, 8), 40)
+    asked = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(list(unit(10_000)), pa.list_(pa.float32()))], ["q", "v"])
+    cell = pa.table({"id": range(V.CELL), "list": pa.array(np.arange(V.CELL) % V.LISTS, pa.int32()), "code": pa.array([c.tobytes() for c in draw.integers(0, 256, (V.CELL, 4)).astype(np.uint8)])})
+    queries = pa.table({"q": range(512), "v": asked.column(1).slice(0, 512)})
+    for most, work in ((100, lambda: sum(b.num_rows for b in V._sent(model, list(range(V.LISTS)), [1] * V.LISTS)(iter([asked])))), (70, lambda: V._best(model, 80)(cell, queries).num_rows)):
+        tracemalloc.start()
+        assert work() > 0
+        peak = tracemalloc.get_traced_memory()[1] / 2**20
+        tracemalloc.stop()
+        assert peak < most, peak
