@@ -458,3 +458,20 @@ def test_sets_that_lie_apart_are_met(spark, monkeypatch, slots):
     monkeypatch.setattr(type(rows), "mapInArrow", None)
     got = {(r.a, r.b) for r in overlap.apart_native(rows.select("node", "component", "l"), F.col("l"), 75, 8).collect()}
     assert want <= got
+
+
+def test_pairs_of_large_buckets_are_confirmed_in_passes(spark, monkeypatch):
+    """No more than some pairs carry their texts at a time, and all links are found."""
+    draw = random.Random(6)
+    bases = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)) for _ in range(60)]
+    rows = [(i, b) for i, b in enumerate(bases)] + [(1000 + i, b[:30] + "#" + b[31:]) for i, b in enumerate(bases)]
+    monkeypatch.setattr(line_dedup, "BANDS", [(0, 1, 2, 3)])
+    monkeypatch.setattr(line_dedup, "PASSES", 1)
+    monkeypatch.setattr(line_dedup, "FEW", 0)
+    monkeypatch.setattr(line_dedup, "_minimum", lambda i: F.col(f"p_{i // 2}").bitwiseAND(F.lit(0)))
+    monkeypatch.setattr(line_dedup, "CONFIRMED", 20, raising=False)
+    sizes, confirmed = [], line_dedup._confirmed
+    monkeypatch.setattr(line_dedup, "_confirmed", lambda pairs, *more: sizes.append(pairs.count()) or confirmed(pairs, *more))
+    gone = line_dedup.duplicate_lines(frame(spark, rows)).collect()
+    assert {r.doc_id for r in gone} == {1000 + i for i in range(60)}
+    assert sum(sizes) == 60 and max(sizes) < 45
