@@ -123,3 +123,20 @@ def test_claims_are_bounded_and_oldest_first(spark, tmp_path):
     silent = outbox.Outbox(spark, str(tmp_path / "silent"), lambda claimed, number: claimed.select("id", F.lit(None).cast("string").alias("error")).limit(0), attempts=2)
     silent.drain(events(spark, [1]), 0)
     assert silent.drain_rest(events(spark, [0]), 1) == 2 and silent.status().first().status == "poisoned"
+
+
+def test_event_rate_at_the_ends_of_minutes(spark, tmp_path):
+    """The SQL's milliseconds are rounded, so an event of a minute's last 500 microseconds is the next minute's."""
+    import duckdb
+
+    from gristmill.plans import catalog
+
+    ends = [f"{day} 10:0{i}:{s}" for i, day in enumerate(("2024-01-01", "2024-01-02", "1969-12-30")) for s in ("00", "00.0005", "30.25", "59.999499", "59.9995", "59.999999")]
+    rows = spark.createDataFrame([(i, t, i % 3) for i, t in enumerate([*ends, "1969-12-31 23:59:00.0004", "1969-12-31 23:59:59.9996"])], "event_id long, t string, k int")
+    rows = rows.selectExpr("event_id", "cast(t as timestamp_ntz) as ts", "event_id as user_id", "concat('type', k) as event_type", "1.0D as value", "'{}' as props")
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = [tuple(r) for r in catalog.QUERIES["stream_event_rate"](spark, str(tmp_path)).collect()]
+    with duckdb.connect() as con:
+        con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+        want = con.sql(catalog.ORACLES["stream_event_rate"]).fetchall()
+    assert sorted(got) == sorted(want) and len(got) > 50
