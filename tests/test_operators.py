@@ -1,5 +1,7 @@
 """Golden values and properties of functions and operators."""
 
+import random
+import re
 from datetime import datetime
 
 import pytest
@@ -339,3 +341,14 @@ def test_neighbours_similarities_are_made_of_one_pass(spark):
     rows = spark.createDataFrame([(sets[a], sets[b]) for a in sets for b in sets], "a array<string>, b array<string>")
     got = rows.select("a", "b", T.set_jaccard(F.col("a"), F.col("b")).alias("j")).collect()
     assert [r.j for r in got] == [len({*r.a} & {*r.b}) / len({*r.a} | {*r.b}) if r.a or r.b else 1.0 for r in got]
+
+
+def test_near_duplicate_pairs_drop_no_partner(spark, tmp_path):
+    """230 near copies, each with more partners of its bands than a canonical job's shortlist."""
+    from gristmill.plans import catalog
+
+    words = " ".join(f"word{i}" for i in range(90))
+    spark.createDataFrame([(i, f"{words} end{i}", "en", "src1", 0) for i in range(230)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("near_duplicate_pairs", "score_pairs"):
+        rows = catalog.QUERIES[name](spark, str(tmp_path)).select("a", "b").collect()
+        assert len(rows) == len(set(rows)) == 230 * 229 // 2
