@@ -343,6 +343,21 @@ def test_neighbours_similarities_are_made_of_one_pass(spark):
     assert [r.j for r in got] == [len({*r.a} & {*r.b}) / len({*r.a} | {*r.b}) if r.a or r.b else 1.0 for r in got]
 
 
+def test_candidates_of_large_buckets(spark):
+    """Buckets of more than one list, and cut to the best, against counting; no pair is a row of a shuffle."""
+    draw = random.Random(3)
+    keys = {i: [draw.randrange(1 + 40 * b) if b else 7 for b in range(16)] for i in range(700)}
+    prints = spark.createDataFrame([(i, "xxy"[i % 3], [k for k in ks for _ in range(8)], ["s"]) for i, ks in keys.items()], "posting_id long, company string, signature array<int>, shingles array<string>")
+    want = {(i, j): sum(k == m for k, m in zip(ks, keys[j])) for i, ks in keys.items() for j in range(i) if "xxy"[i % 3] == "xxy"[j % 3]}
+    found = dedup.candidates(prints, None)
+    assert [(r.a, r.b, r.matched_bands) for r in found.orderBy("a", "b").collect()] == sorted((a, b, n) for (a, b), n in want.items() if n)
+    best = {a: sorted((-n, b) for (x, b), n in want.items() if x == a)[:5] for a in keys}
+    cut = dedup.candidates(prints, 5)
+    assert {(r.a, r.b, r.matched_bands) for r in cut.collect()} == {(a, b, -n) for a, of in best.items() for n, b in of}
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(a#\d+L?, b#", plan)
+
+
 def test_near_duplicate_pairs_drop_no_partner(spark, tmp_path):
     """230 near copies, each with more partners of its bands than a canonical job's shortlist."""
     from gristmill.plans import catalog
