@@ -358,6 +358,17 @@ def test_candidates_of_large_buckets(spark):
     assert not re.search(r"hashpartitioning\(a#\d+L?, b#", plan)
 
 
+def test_scores_shuffle_only_postings_of_pairs(spark, tmp_path):
+    """Postings without a partner are left out before texts are shuffled."""
+    posts = spark.createDataFrame([(i, "x", "Engineer", "one two three four " + ("five" if i < 2 else f"w{i} " * 40), "", False) for i in range(40)], "posting_id long, company string, title string, description string, location string, remote boolean")
+    dedup.fingerprints(posts).write.parquet(str(tmp_path / "prints"))
+    prints = spark.read.parquet(str(tmp_path / "prints"))
+    pairs = spark.createDataFrame([(1, 0, 16)], "a long, b long, matched_bands long")
+    rows = dedup.scored(pairs, prints)
+    assert [(r.a, r.b, r.jaccard) for r in rows.collect()] == [(1, 0, 1.0)]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi") == 2
+
+
 def test_near_duplicate_pairs_drop_no_partner(spark, tmp_path):
     """230 near copies, each with more partners of its bands than a canonical job's shortlist."""
     from gristmill.plans import catalog
