@@ -475,3 +475,27 @@ def test_pairs_of_large_buckets_are_confirmed_in_passes(spark, monkeypatch):
     gone = line_dedup.duplicate_lines(frame(spark, rows)).collect()
     assert {r.doc_id for r in gone} == {1000 + i for i in range(60)}
     assert sum(sizes) == 60 and max(sizes) < 45
+
+
+def test_pairs_are_met_in_passes_and_ruled_out_by_maps(spark, monkeypatch):
+    """Slices of members, a pass each, give the pairs of one pass; maps rule out no pair at the threshold, and most others."""
+    from contextlib import ExitStack
+
+    draw = random.Random(5)
+    base = "".join(draw.choice("abcdefgh ") for _ in range(150))
+    lines = ["".join(draw.choice("xyz") if draw.random() < rate else c for c in base) for rate in (0.005, 0.02, 0.1) for _ in range(25)]
+    rows = spark.createDataFrame(list(enumerate(lines)), "h1 long, line string")
+    texts = line_dedup._mapped(rows).cache()
+    sets = [{line[i : i + 5] for i in range(len(line) - 4)} for line in lines]
+    assert {r.h1: r.size for r in texts.collect()} == {i: len(s) for i, s in enumerate(sets)}
+    close = {(a, b) for a in range(len(lines)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    every = spark.createDataFrame([(a, b) for a in range(len(lines)) for b in range(a)], "a long, b long")
+    left = {(r.a, r.b) for r in line_dedup._sized(every, texts, 80).collect()}
+    assert 20 < len(close) and close <= left and len(left) < every.count() / 2
+    nodes = texts.select(F.col("h1").alias("node"), F.col("h1").alias("component"), "line", *[f"map_{j}" for j in range(4)])
+    met = []
+    for most in (1_000_000, 700):
+        monkeypatch.setattr(overlap, "AT_ONCE", most)
+        with ExitStack() as keep:
+            met.append(sorted((r.a, r.b) for r in overlap.apart_native(nodes, line_dedup.members(F.col("line")), 80, 8, keep).collect()))
+    assert met[0] == met[1] and len(met[0]) == len(set(met[0])) and close <= set(met[0])
